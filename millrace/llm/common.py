@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +47,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out = f"{checkpoint_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(out)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that nothing refers to
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -86,7 +86,3 @@ def reducers(spark: SparkSession, total_bytes: float = 0, each: int = 128 << 20)
 def normal_text(text: str | F.Column = "text") -> F.Column:
     """Null as empty, each run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-
-
-def temp_root() -> str:
-    return os.path.join(tempfile.gettempdir(), "millrace")

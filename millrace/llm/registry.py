@@ -1,9 +1,11 @@
 """The queries of this subpackage, and their SQL where it exists."""
 
-from millrace.llm import exact_dedup, quality_rules
+from millrace.llm import exact_dedup, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 SQL = {"op2_exact_dedup": exact_dedup.SQL}
