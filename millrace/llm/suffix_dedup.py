@@ -206,7 +206,8 @@ def runs(piece: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         stops = np.flatnonzero(np.append(fresh[1:] | ~valid[1:], True) & valid)
         whole = (h[first] * _ODD[12] + h[stops]) * _ODD[13] + (stops - first).astype(np.uint64)
         own = owner[first]
-        yield [g[anchor[first]], whole, doc[own], tag[own], (first + s - begins[own]).astype(np.int32), (stops - first + 1).astype(np.uint8)]
+        # anchors have small hashes; times an odd number they spread over the whole range of splitters
+        yield [g[anchor[first]] * _ODD[14], whole, doc[own], tag[own], (first + s - begins[own]).astype(np.int32), (stops - first + 1).astype(np.uint8)]
 
 
 def _span(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
