@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, quality_rules
+from millrace.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
 from millrace.llm.common import durable, read
 
 
@@ -22,9 +22,27 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.deduplicate(docs)
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (shingles of five words, fingerprints 4 bits apart at most)."""
+    return simhash.keep_first(docs, size=5)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that an earlier place has, too."""
+    return suffix_dedup.remove(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its words and the bin that holds it."""
+    return packing.pack(packing.items(docs))
+
+
 STAGES = [
     ("quality_rules", quality_rules_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: Expectation-maximisation, connected components and packing have no SQL form; tests compare with brute force.

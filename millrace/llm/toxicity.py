@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples: at most EXAMPLES labelled documents (a bound on the sample the classifier is fitted on). Terms: lower-case
-words and their first 4 and 5 letters; the vocabulary is the at most TERMS terms that speak for the label most, by the
+words and their first 3 to 9 letters; the vocabulary is the at most TERMS terms that speak for the label most, by the
 log-likelihood ratio. Weights are (1 + log tf) * idf, vectors have length 1.
 
 Examples lie in blocks of BLOCK; the inverted index has, for each term and block, its postings and their largest
@@ -32,16 +32,23 @@ from millrace.llm.labelled import base_rate, remainder, sample
 
 EXAMPLES = 4000
 TERMS = 2048
-LEAST_RATIO = 8.0
+LEAST_RATIO = 20.0
 LEAST_DOCS = 3
 BLOCK = 64
 K = 15
 PRIOR = 0.05
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
+#: Letters of the beginnings of words that are terms besides the words.
+BEGINNINGS = range(3, 10)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def word_terms(w: str) -> list[str]:
+    """A word, and its proper beginnings."""
+    return [w, *(w[:n] + "-" for n in BEGINNINGS if n < len(w))]
+
+
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of a text's terms, and how often each occurs."""
     import xxhash
@@ -51,23 +58,18 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
         counts[w] = counts.get(w, 0) + 1
     made: dict[int, int] = {}
     for w, n in counts.items():
-        for t in (w, w[:4] + "-", w[:5] + "-") if len(w) > 5 else (w, w[:4] + "-") if len(w) == 5 else (w,):
+        for t in word_terms(w):
             k = h(t)
             made[k] = made.get(k, 0) + n
     return np.fromiter(made.keys(), np.uint64, len(made)), np.fromiter(made.values(), np.int64, len(made))
 
 
-def word_terms(known: set[int]):
-    """A function from a word to those of its terms that are known."""
+def known_terms(known: set[int]):
+    """A function from a word to those of its terms' hashes that are known."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
-
-    def of(w: str) -> tuple[int, ...]:
-        made = (w, w[:4] + "-", w[:5] + "-") if len(w) > 5 else (w, w[:4] + "-") if len(w) == 5 else (w,)
-        return tuple(k for k in map(h, made) if k in known)
-
-    return of
+    return lambda w: tuple(k for k in map(h, word_terms(w)) if k in known)
 
 
 @dataclass
@@ -210,7 +212,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = shared.value
-        of, known = word_terms(set(x.vocabulary)), {}
+        of, known = known_terms(set(x.vocabulary)), {}
         number = x.vocabulary
         scores, evidence = [], []
         for text in batch.column("text").to_pylist():
