@@ -141,6 +141,8 @@ def build(e, resolve) -> Typed:
     if isinstance(e, Call):
         raise ValueError_(f"Unknown function {e.name}")
     assert isinstance(e, Op)
+    if e.name == "alias":  # what an alias of the select list stands for
+        return build(e.args[0], resolve)
     return operate(e.name, [build(x, resolve) for x in e.args])
 
 

@@ -158,7 +158,7 @@ class Planner:
                     named = aliases[x.name]
                     if inside and not has_aggregate(named) and any(c[1] == x.name for c in scope.columns):
                         return x
-                    return named
+                    return Op("alias", (named,))
                 return None
 
             return replace(e, f)
@@ -215,7 +215,7 @@ class Planner:
                         return Hole(*scope.find(x)[3:1:-1])
                     except ValueError_:
                         return None
-                return None
+                return canonical(x.args[0]) if isinstance(x, Op) and x.name == "alias" else None
 
             return replace(e, f)
 
@@ -233,25 +233,25 @@ class Planner:
         found: dict = {}
         columns: list = []
 
-        def rewrite(e):
-            def f(x):
-                own = canonical(x)
-                for key, hole in keys:
-                    if own == key:
-                        return hole
-                if is_aggregate(x):
-                    if any(has_aggregate(a) for a in x.args):
-                        raise ValueError_("Aggregate functions can't be nested")
-                    if len(x.args) != 1:
-                        raise ValueError_(f"Unknown function {x.name}")
-                    if own not in found:
-                        column, kind = aggregate(x.name, build(x.args[0], scope.resolve))
-                        found[own] = Hole(f"a{len(found)}", kind)
-                        columns.append(column.alias(found[own].column))
-                    return found[own]
-                return None
-
-            return replace(e, f)
+        def rewrite(e, whole: bool = True):
+            """Group columns may stand anywhere, other group expressions only as a whole (or behind an alias)."""
+            if isinstance(e, Op) and e.name == "alias":
+                return rewrite(e.args[0])
+            own = canonical(e)
+            for key, hole in keys:
+                if own == key and (whole or isinstance(key, Hole)):
+                    return hole
+            if is_aggregate(e):
+                if any(has_aggregate(a) for a in e.args):
+                    raise ValueError_("Aggregate functions can't be nested")
+                if len(e.args) != 1:
+                    raise ValueError_(f"Unknown function {e.name}")
+                if own not in found:
+                    column, kind = aggregate(e.name, build(e.args[0], scope.resolve))
+                    found[own] = Hole(f"a{len(found)}", kind)
+                    columns.append(column.alias(found[own].column))
+                return found[own]
+            return Op(e.name, tuple(rewrite(a, False) for a in e.args)) if isinstance(e, Op) else e
 
         for e in used:
             rewrite(e)
