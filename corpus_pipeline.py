@@ -23,8 +23,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, fingerprints 4 bits apart at most)."""
-    return simhash.keep_first(docs, size=5)
+    """One document of each group of near copies (shingles of five words, fingerprints 6 bits apart at most)."""
+    return simhash.keep_first(docs, size=5, radius=6)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

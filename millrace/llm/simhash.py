@@ -18,6 +18,8 @@ share a fingerprint; an empty table gives no rows; null ids stay null and count
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +57,29 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def masks(positions: list[int], radius: int = RADIUS) -> list[int]:
-    """2 ** (radius + 1) - 1 masks over some bit positions, of which one hides any `radius` of them.
+@cache
+def vectors(count: int, radius: int, tries: int = 300) -> tuple[int, ...]:
+    """A non-zero vector of radius + 1 bits for each of `count` positions. Any choice covers; of some seeded draws, and
+    of dealing them in turn, that is taken whose weakest mask keeps most positions."""
+    n, r = 2 ** (radius + 1), np.random.default_rng(64)
+    drawn = [np.arange(count) * 4 % (n - 1) + 1, *(r.integers(1, n, count) for _ in range(tries))]
+    weakest = [(np.bitwise_count(v[None, :] & np.arange(1, n)[:, None]) % 2).sum(axis=1).min() for v in drawn]
+    return tuple(int(x) for x in drawn[int(np.argmax(weakest))])
 
-    Vectors are dealt in turn, so that each non-zero vector has about equally many positions and each mask keeps
-    about half of them.
-    """
-    n = 2 ** (radius + 1)
-    vector = {p: 1 + i * 11 % (n - 1) for i, p in enumerate(positions)}
-    return [sum(1 << p for p in positions if (vector[p] & v).bit_count() % 2) for v in range(1, n)]
+
+def masks(positions: list[int], radius: int = RADIUS) -> list[int]:
+    """2 ** (radius + 1) - 1 masks over some bit positions, of which one hides any `radius` of them."""
+    dealt = list(zip(positions, vectors(len(positions), radius), strict=True))
+    return [sum(1 << p for p, x in dealt if (x & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
 MASKS = masks(list(range(64)))
 
 
+def masks_of(radius: int) -> list[int]:
+    return MASKS if radius == RADIUS else masks(list(range(64)), radius)
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -89,80 +100,102 @@ def spanning_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
     return links
 
 
-def _linker(batches):
-    """Rows (t, kept, fp) of whole buckets, in any order, to links a, b."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    t, kept, fp = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]) for c in ("t", "kept", "fp"))
-    order = np.lexsort((fp, kept, t))
-    t, kept, fp = t[order], kept[order], fp[order].view(np.uint64)
-    edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (kept[1:] != kept[:-1]), [True]]))
-    many = np.flatnonzero(np.diff(edge) > 1)
-    links: set[tuple[int, int]] = set()
-    for k in many:
-        links.update(spanning_links(fp[edge[k] : edge[k + 1]]))
-    if links:
-        out = np.array(sorted(links), np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-
-def links(prints: DataFrame) -> DataFrame:
+def _linker(radius: int):
+    def run(batches):
+        """Rows (t, kept, fp) of whole buckets, in any order, to links a, b."""
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t, kept, fp = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]) for c in ("t", "kept", "fp"))
+        order = np.lexsort((fp, kept, t))
+        t, kept, fp = t[order], kept[order], fp[order].view(np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (kept[1:] != kept[:-1]), [True]]))
+        many = np.flatnonzero(np.diff(edge) > 1)
+        links: set[tuple[int, int]] = set()
+        for k in many:
+            links.update(spanning_links(fp[edge[k] : edge[k + 1]], radius))
+        if links:
+            out = np.array(sorted(links), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _dealt_again(radius: int):
+    """Rows (t, fp) of large buckets, dealt by masks over the positions that mask t hides; the new t names both."""
+    first = masks_of(radius)
+    second = [np.array([m | x for x in masks([p for p in range(64) if not m >> p & 1], radius)], np.uint64) for m in first]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                t, fp = (b.column(c).to_numpy(zero_copy_only=False)[i : i + 1024] for c in ("t", "fp"))
+                kept = fp.view(np.uint64)[:, None] & np.stack([second[x] for x in t])
+                n = kept.shape[1]
+                name = (np.arange(1, n + 1)[None, :] * 1024 + t[:, None]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(name.ravel()), pa.array(kept.ravel().view(np.int64)), pa.array(np.repeat(fp, n))], names=["t", "kept", "fp"])
+
+    return run
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints: distinct fp (long, the fingerprint's bits). Links a, b that connect all within the radius."""
     spark = prints.sparkSession
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(MASKS)]))
+    table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks_of(radius))]))
     dealt = prints.select("fp", table.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("kept"), "fp")
     sizes = dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     large = durable(sizes.select("t", "kept"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if large.isEmpty():
-        return dealt.repartition(parts, "t", "kept").mapInArrow(_linker, "a long, b long")
-    # the second masks cover the positions that the first one hides; t then names both
-    second = [masks([p for p in range(64) if not m >> p & 1]) for m in MASKS]
-    keep = F.array(*[F.array(*[F.lit(_signed(m | x)) for x in xs]) for m, xs in zip(MASKS, second, strict=True)])
-    again = dealt.join(large, ["t", "kept"], "left_semi").select("t", "fp", F.posexplode(keep[F.col("t")]).alias("s", "m"))
-    again = again.select(((F.col("s") + 1) * 64 + F.col("t")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("kept"), "fp")
-    once = dealt.join(large, ["t", "kept"], "left_anti")
-    return once.unionByName(again).repartition(parts, "t", "kept").mapInArrow(_linker, "a long, b long")
+    if not large.isEmpty():
+        again = dealt.join(large, ["t", "kept"], "left_semi").select("t", "fp").mapInArrow(_dealt_again(radius), "t int, kept long, fp long")
+        dealt = dealt.join(large, ["t", "kept"], "left_anti").select("t", "kept", "fp").unionByName(again)
+    return dealt.repartition(parts, "t", "kept").mapInArrow(_linker(radius), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id (null as LAST_ID) and fp of each row."""
+    """doc_id (null as LAST_ID), tag (a hash of the text) and fp of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(made)], names=["doc_id", "tag", "fp"])
+
+    return by_text(docs.select(*named(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), run, "doc_id long, tag long, fp long")
+
 
-    return by_text(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+def named(prefix: str = "") -> list[F.Column]:
+    """What tells rows apart: the id, and the text where ids repeat."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias(f"{prefix}doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(f"{prefix}tag")]
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, fp. A row for each distinct fp: fp, component_id (smallest doc_id of its component)."""
+def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows: doc_id, fp. A row for each distinct fp: fp, root (that of its component), component_id (its smallest doc_id)."""
     prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp")))
+    roots = components(links(prints.select("fp"), radius))
     placed = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """A row for each document: doc_id, fingerprint, component_id."""
     rows = durable(fingerprints(docs, size))
-    out = rows.join(classes(rows), "fp")
+    out = rows.join(classes(rows, radius), "fp")
     back = lambda c: F.when(F.col(c) < LAST_ID, F.col(c)).alias(c)
     return out.select(back("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back("component_id"))
 
 
-def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay, one for each component, with all their columns."""
     names = docs.columns
     rows = durable(fingerprints(docs, size))
-    first = durable(rows.join(classes(rows), "fp").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    out = marked.join(first.filter("n = 1").select(F.col("doc_id").alias("__id")), "__id", "left_semi")
-    if not first.filter("n > 1").isEmpty():  # several rows share the id that stays: any one of them
-        again = marked.join(first.filter("n > 1").select(F.col("doc_id").alias("__id")), "__id", "left_semi")
-        out = out.unionByName(again.dropDuplicates(["__id"]))
+    same = rows.join(classes(rows, radius), "fp").filter("doc_id = component_id").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n"))
+    # of several texts with the id that stays, that with the smallest hash
+    first = durable(same.groupBy("root", "doc_id").agg(F.min(F.struct("tag", "n")).alias("x")).select(F.col("doc_id").alias("__doc_id"), F.col("x.tag").alias("__tag"), "x.n"))
+    keys = ["__doc_id", "__tag"]
+    marked = docs.select(*names, *named("__"))
+    out = marked.join(first.filter("n = 1").select(*keys), keys, "left_semi")
+    if not first.filter("n > 1").isEmpty():  # rows equal in id and text: any one of them stays
+        out = out.unionByName(marked.join(first.filter("n > 1").select(*keys), keys, "left_semi").dropDuplicates(keys))
     return out.select(*names)
 
 
