@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +90,41 @@ def reducers(spark: SparkSession, total_bytes: float = 0, each: int = 128 << 20)
 def normal_text(text: str | F.Column = "text") -> F.Column:
     """Null as empty, each run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of a model of bounded size; its class travels by value, too. Tasks load it once."""
+    sent, loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not loaded:
+            loaded.append(pickle.loads(sent.value))
+        return loaded[0]
+
+    return get
+
+
+def worker_wide(name: str, make: Callable[[], object]) -> object:
+    """An object of this Python worker, made once and kept from task to task (functions come anew with each task)."""
+    held = sys.modules.setdefault("millrace_worker", types.ModuleType("millrace_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+class Recent:
+    """A bounded table: when it is full it becomes the old one, and what is asked for again moves to the new one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, k):
+        found = self.new.get(k)
+        if found is None and (found := self.old.get(k)) is not None:
+            self.put(k, found)
+        return found
+
+    def put(self, k, v) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[k] = v

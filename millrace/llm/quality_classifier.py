@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, read
+from millrace.llm.common import by_text, read, shared
 from millrace.llm.labelled import base_rate, remainder, sample
 
 EXAMPLES = 4000
@@ -134,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bound by EXAMPLES, TERMS and DIMENSIONS
+    sent = shared(docs.sparkSession, model)  # its size is bound by EXAMPLES, TERMS and DIMENSIONS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, shapes, scores = shared.value, {}, []
+        m, shapes, scores = sent(), {}, []
         texts = batch.column("text").to_pylist()
         for i in range(0, len(texts), ROWS):
             counts = [terms(t or "", shapes) for t in texts[i : i + ROWS]]

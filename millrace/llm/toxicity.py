@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, read
+from millrace.llm.common import by_text, read, shared
 from millrace.llm.labelled import base_rate, remainder, sample
 
 EXAMPLES = 4000
@@ -208,10 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
 
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # its size is bound by EXAMPLES and TERMS
+    model = shared(docs.sparkSession, index)  # its size is bound by EXAMPLES and TERMS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = shared.value
+        x = model()
         of, known = known_terms(set(x.vocabulary)), {}
         number = x.vocabulary
         scores, evidence = [], []
