@@ -39,7 +39,7 @@ LENGTH = 100
 GRAM = 44
 #: Bytes hashed at once, and windows or runs sorted at once before they are sent on.
 SEGMENT = 1 << 20
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of text for each reducer of step 2.
 REDUCER_BYTES = 48 << 20
 #: Documents sampled for the splitters of step 3.
@@ -390,7 +390,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = reducers(spark, total, REDUCER_BYTES)
-    dealt = deal_runs(rows, buckets).repartition(buckets, "bucket")
+    dealt = deal_runs(rows, buckets).repartitionById(buckets, "bucket")
     found = durable(sort_runs(dealt))
     of_doc = lambda df: df.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     wanted = found.filter("wanted").select("doc_id", "tag", "start", "stop")
@@ -398,7 +398,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     some = some.join(wanted, ["doc_id", "tag"])
     # at most SAMPLE_DOCS rows are broadcast, whatever the corpus
     splitters = sample_splitters(rows.join(F.broadcast(of_doc(some)), ["doc_id", "tag"]), buckets)
-    compared = deal_windows(rows.join(of_doc(wanted), ["doc_id", "tag"]), splitters).repartition(buckets, "bucket")
+    compared = deal_windows(rows.join(of_doc(wanted), ["doc_id", "tag"]), splitters).repartitionById(buckets, "bucket")
     gone = found.filter("NOT wanted").unionByName(durable(sort_windows(compared)))
     return of_doc(gone)
 
