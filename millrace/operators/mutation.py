@@ -101,7 +101,7 @@ def insert(txn, s: Insert) -> int:
             if x.references == table.name:
                 targets[x.name].add(own)
     new = txn.spark.createDataFrame([tuple(r) for r in rows], table.schema())
-    txn.put(table, stored.unionByName(new), {key(r[place[primary.name]]) for r in rows})
+    txn.append(table, txn.stage(new.coalesce(1), table), {key(r[place[primary.name]]) for r in rows})  # rows of a statement's text
     return len(rows)
 
 
@@ -112,22 +112,23 @@ def load(txn, table: TableDef, df: DataFrame) -> int:
     """
     rows = df.select(*[c(x.name).cast(SPARK[x.kind]).alias(x.name) for x in table.columns])
     stored, primary = txn.read(table), table.primary
-    path = txn.stage(stored.unionByName(rows), table)
-    whole = txn.engine.store.read(table, path)
+    path = txn.stage(rows, table)
+    rows = txn.engine.store.read(table, [path])
+    whole = stored.unionByName(rows)
     tests = [F.count("*").alias("n")]
     for x in table.columns:
         if not x.nullable:
             tests.append(F.sum(c(x.name).isNull().cast("long")).alias(f"null {x.name}"))
         if x.kind == "STRING":
             tests.append(F.sum((F.octet_length(c(x.name)) > MOST_BYTES).cast("long")).alias(f"long {x.name}"))
-    found = whole.agg(*tests).first().asDict()
-    n = found.pop("n") - stored.count()
+    found = rows.agg(*tests).first().asDict()
+    n = found.pop("n")
     for test, bad in found.items():
         if bad:
             raise ValueError_(f"NULL value not allowed for column {test[5:]}" if test.startswith("null ") else "Strings cannot be more than 1024 bytes")
     for x in table.columns:
         if x.unique:
-            twice = some(whole.filter(c(x.name).isNotNull()).groupBy(c(x.name)).count().filter("count > 1"), c(x.name))
+            twice = some(rows.filter(c(x.name).isNotNull()).groupBy(c(x.name)).count().filter("count > 1"), c(x.name)) or some(rows.join(stored.select(c(x.name).alias("__had")), c(x.name) == F.col("__had"), "left_semi"), c(x.name))
             if twice:
                 raise ValueError_(f"Primary key {show(twice[0])} already exists for table {table.name}" if x.primary else f"Unique value {show(twice[0])} already exists for column {x.name}")
         if x.references:
@@ -137,7 +138,7 @@ def load(txn, table: TableDef, df: DataFrame) -> int:
             missing = some(given.join(keys, c(x.name) == F.col("__key"), "left_anti"), c(x.name))
             if missing:
                 raise ValueError_(f"Referenced primary key {show(missing[0])} in table {x.references} does not exist")
-    txn.publish(table, path, touched_keys(rows, primary.name))
+    txn.append(table, path, touched_keys(rows, primary.name))
     return n
 
 
@@ -195,18 +196,18 @@ def update(txn, s: Update) -> int:
     moved_j = at("j", "__m") & (at("j", primary) != at("j", was))
     moved_i = at("i", "__m") & (at("i", primary) != at("i", was))
     if primary in new:
-        clash = i.filter(moved_i).join(j, (at("i", primary) == at("j", was)) & (at("j", was) != at("i", was)) & (~moved_j | later), "left_semi").select(c(primary))
-        twice = moved.groupBy(c(primary)).count().filter("count > 1").select(c(primary))
-        found = some(clash.unionByName(twice), c(primary))
+        clash = i.filter(moved_i).join(j, (at("i", primary) == at("j", was)) & (at("j", was) != at("i", was)) & (~moved_j | later), "left_semi").select(c(primary), c(was))
+        twice = i.filter(moved_i).join(j, (at("i", primary) == at("j", primary)) & moved_j & (at("j", was) < at("i", was)), "left_semi").select(c(primary), c(was))
+        found = some(clash.unionByName(twice).orderBy(c(was)), c(primary))
         if found:
             raise ValueError_(f"Primary key {show(found[0])} already exists for table {table.name}")
         for other, x in txn.references(table.name):
             if other.name == table.name:
                 fk_was = at("j", f"__old_{x.name}") if x.name in new else at("j", x.name)
                 fk = F.when(at("j", "__m") & (at("j", was) < at("i", was)), at("j", x.name)).otherwise(fk_was)
-                hits = i.filter(moved_i).join(j, (at("i", was) == fk) & (at("i", was) != at("j", was)), "left_semi").select(c(was))
+                hits = i.filter(moved_i).join(j, (at("i", was) == fk) & (at("i", was) != at("j", was)), "left_semi").select(c(was)).orderBy(c(was))
             else:
-                hits = moved.join(txn.read(other).select(c(x.name).alias("__fk")), c(was) == F.col("__fk"), "left_semi").select(c(was))
+                hits = moved.join(txn.read(other).select(c(x.name).alias("__fk")), c(was) == F.col("__fk"), "left_semi").select(c(was)).orderBy(c(was))
             found = some(hits, c(was))
             if found:
                 raise ValueError_(refused(found[0], table.name, x.name, other.name))
@@ -214,20 +215,20 @@ def update(txn, s: Update) -> int:
         if x.references == table.name and (x.name in new or primary in new):
             there = F.when(at("j", "__m") & (at("j", was) <= at("i", was)), at("j", primary)).otherwise(at("j", was))
             checked = i.filter(at("i", "__m") & at("i", x.name).isNotNull() & (F.lit(x.name in new) | moved_i))
-            missing = some(checked.join(j, at("i", x.name) == there, "left_anti"), c(x.name))
+            missing = some(checked.join(j, at("i", x.name) == there, "left_anti").orderBy(c(was)), c(x.name))
         elif x.references and x.name in new:
             target = txn.must_find(x.references)
             keys = txn.read(target).select(c(target.primary.name).alias("__key"))
-            missing = some(hit.filter(c(x.name).isNotNull() & (~F.isnan(c(x.name)) if x.kind == "FLOAT" else F.lit(True))).join(keys, c(x.name) == F.col("__key"), "left_anti"), c(x.name))
+            missing = some(hit.filter(c(x.name).isNotNull() & (~F.isnan(c(x.name)) if x.kind == "FLOAT" else F.lit(True))).join(keys, c(x.name) == F.col("__key"), "left_anti").orderBy(c(was)), c(x.name))
         else:
             missing = None
         if missing:
             raise ValueError_(f"Referenced primary key {show(missing[0])} in table {x.references} does not exist")
         if x.unique and not x.primary and x.name in new:
             mine, others = i.filter(at("i", "__m")), at("i", was) != at("j", was)
-            before = mine.join(j, (at("i", x.name) == at("j", f"__old_{x.name}")) & others & (~at("j", "__m") | later), "left_semi").select(c(x.name))
-            after = mine.join(j, (at("i", x.name) == at("j", x.name)) & at("j", "__m") & (at("j", was) < at("i", was)), "left_semi").select(c(x.name))
-            found = some(before.unionByName(after), c(x.name))
+            before = mine.join(j, (at("i", x.name) == at("j", f"__old_{x.name}")) & others & (~at("j", "__m") | later), "left_semi").select(c(x.name), c(was))
+            after = mine.join(j, (at("i", x.name) == at("j", x.name)) & at("j", "__m") & (at("j", was) < at("i", was)), "left_semi").select(c(x.name), c(was))
+            found = some(before.unionByName(after).orderBy(c(was)), c(x.name))
             if found:
                 raise ValueError_(f"Unique value {show(found[0])} already exists for column {x.name}")
     keys = touched_keys(hit, was)

@@ -88,7 +88,7 @@ def test_update(session):
     assert session.execute("UPDATE t SET s = 'q' WHERE FALSE").count == 0
     assert ask(session, "SELECT * FROM t") == [(1, 10, 1, "a"), (2, 2, 2, "z"), (3, 3, None, "z")]
     for sql, text in (
-        ("UPDATE t SET id = id + 1", "Primary key 3 already exists for table t"),
+        ("UPDATE t SET id = id + 1", "Primary key 2 already exists for table t"),
         ("UPDATE t SET id = 7", "Primary key 7 already exists for table t"),
         ("UPDATE t SET u = 10 WHERE id = 2", "Unique value 10 already exists for column u"),
         ("UPDATE t SET s = NULL", "NULL value not allowed for column s"),
@@ -151,6 +151,27 @@ def test_load(session, spark):
     assert ask(session, "SELECT COUNT(*) FROM t") == [(1000,)]
 
 
+def test_inserts_append(session, monkeypatch):
+    """An INSERT writes its own rows only; parts become one when there are many."""
+    import millrace.session as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    sizes = []
+    for i in range(5):
+        session.execute(f"INSERT INTO t VALUES ({i})")
+        sizes.append(len(session.engine.at("t", session.engine.seq)["paths"]))
+    assert sizes == [1, 2, 3, 1, 2] and ask(session, "SELECT id FROM t") == [(i,) for i in range(5)]
+    a, b = Session(session.engine), Session(session.engine)
+    for x in (a, b):
+        x.execute("BEGIN")
+    a.execute("INSERT INTO t VALUES (10)")
+    b.execute("INSERT INTO t VALUES (11)")
+    a.execute("COMMIT")
+    b.execute("COMMIT")
+    assert [r[0] for r in ask(session, "SELECT id FROM t WHERE id > 4")] == [10, 11]
+
+
 def test_transactions(session):
     fails(session, "COMMIT", "Not in a transaction")
     session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")  # transaction 1
