@@ -170,9 +170,12 @@ def update(txn, s: Update) -> int:
         new[name] = t.column.cast(SPARK_TYPES[x.kind])
     made = [F.when(match, new[x.name]).otherwise(c(x.name)).alias(x.name) if x.name in new else c(x.name) for x in table.columns]
     old = [c(n).alias(f"__old_{n}") for n in dict.fromkeys([primary, *s.assign])]
-    # one write: checks read it, and it becomes the new version (readers ask for the table's columns only)
-    path = txn.stage(txn.read(table).select(*made, *old, match.alias("__m")), table)
+    # one write, of the parts with such rows: checks read it, and it becomes part of the new version (readers ask for
+    # the table's columns only)
+    parts, others = txn.parts(table, match)
+    path = txn.stage(txn.read_parts(table, parts).select(*made, *old, match.alias("__m")), table)
     staged = txn.staged(path)
+    every = staged.unionByName(txn.read_parts(table, others).select("*", *old, F.lit(False).alias("__m"))) if others else staged
     hit, was = staged.filter("__m"), f"__old_{primary}"
     tests = [F.count("*").alias("n")]
     for name in new:
@@ -190,7 +193,7 @@ def update(txn, s: Update) -> int:
         if bad:
             raise ValueError_(f"NULL value not allowed for column {test[5:]}" if test.startswith("null ") else "Strings cannot be more than 1024 bytes")
     moved = hit.filter(c(primary) != c(was))
-    i, j = staged.alias("i"), staged.alias("j")
+    i, j = staged.alias("i"), every.alias("j")
     at = lambda side, name: F.col(f"{side}.`{name}`")
     later = at("j", was) > at("i", was)
     moved_j = at("j", "__m") & (at("j", primary) != at("j", was))
@@ -225,8 +228,8 @@ def update(txn, s: Update) -> int:
         if missing:
             raise ValueError_(f"Referenced primary key {show(missing[0])} in table {x.references} does not exist")
         if x.unique and not x.primary and x.name in new:
-            mine, others = i.filter(at("i", "__m")), at("i", was) != at("j", was)
-            before = mine.join(j, (at("i", x.name) == at("j", f"__old_{x.name}")) & others & (~at("j", "__m") | later), "left_semi").select(c(x.name), c(was))
+            mine, apart = i.filter(at("i", "__m")), at("i", was) != at("j", was)
+            before = mine.join(j, (at("i", x.name) == at("j", f"__old_{x.name}")) & apart & (~at("j", "__m") | later), "left_semi").select(c(x.name), c(was))
             after = mine.join(j, (at("i", x.name) == at("j", x.name)) & at("j", "__m") & (at("j", was) < at("i", was)), "left_semi").select(c(x.name), c(was))
             found = some(before.unionByName(after).orderBy(c(was)), c(x.name))
             if found:
@@ -235,7 +238,7 @@ def update(txn, s: Update) -> int:
     if keys is not None and primary in new:
         more = touched_keys(hit, primary)
         keys = None if more is None else keys | more
-    txn.publish(table, path, keys)
+    txn.publish(table, path, others, keys)
     return n
 
 
@@ -262,7 +265,8 @@ def delete(txn, s: Delete) -> int:
         found = some(hits.orderBy(c(primary)), c(primary))
         if found:
             raise ValueError_(refused(found[0], table.name, x.name, other.name))
-    txn.put(table, rows.filter("NOT __m").drop("__m"), touched_keys(doomed, primary))
+    parts, others = txn.parts(table, match)
+    txn.publish(table, txn.stage(txn.read_parts(table, parts).filter(~match), table), others, touched_keys(doomed, primary))
     return n
 
 

@@ -172,6 +172,28 @@ def test_inserts_append(session, monkeypatch):
     assert [r[0] for r in ask(session, "SELECT id FROM t WHERE id > 4")] == [10, 11]
 
 
+def test_changes_leave_other_parts(session):
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, u INTEGER UNIQUE)")
+    for i in range(3):
+        session.execute(f"INSERT INTO t VALUES ({i}, {i})")
+    before = session.engine.at("t", session.engine.seq)["paths"]
+    session.execute("UPDATE t SET u = 9 WHERE id = 1")
+    paths = session.engine.at("t", session.engine.seq)["paths"]
+    assert paths[:2] == [before[0], before[2]] and len(paths) == 3
+    fails(session, "UPDATE t SET u = 2 WHERE id = 1", "Unique value 2 already exists for column u")
+    fails(session, "UPDATE t SET id = 0 WHERE id = 2", "Primary key 0 already exists for table t")
+    session.execute("DELETE FROM t WHERE id = 0")
+    assert before[2] in session.engine.at("t", session.engine.seq)["paths"] and ask(session, "SELECT * FROM t") == [(1, 9), (2, 2)]
+
+
+def test_statements_sent_again(session):
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)", sequence=1)
+    assert session.execute("INSERT INTO t VALUES (1)", sequence=2) is session.execute("INSERT INTO t VALUES (1)", sequence=2)
+    fails_with = pytest.raises(ValueError_, match="is older than")
+    with fails_with:
+        session.execute("INSERT INTO t VALUES (2)", sequence=1)
+
+
 def test_transactions(session):
     fails(session, "COMMIT", "Not in a transaction")
     session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")  # transaction 1
