@@ -172,7 +172,8 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp"), radius))
     placed = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written out, so that the join has its own exchange, which Spark splits where a component is large
+    least = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     return placed.join(least, "root").select("fp", "root", "component_id")
 
 
