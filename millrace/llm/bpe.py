@@ -20,21 +20,20 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, read
+from millrace.llm.common import Recent, by_text, read, worker_wide
 
 ROLL = 16
 #: Zero bits at a cut: chunks have 2 ** CUT bytes on average.
 CUT = 8
-#: Bytes of chunks and joins (about, with their results) and number of words that a worker keeps; a full table begins anew.
-KEPT_BYTES = 128 << 20
-KEPT_WORDS = 400_000
+#: Bytes of chunks and joins (about, with their results; a full table begins anew) and words that a worker keeps.
+KEPT_BYTES = 64 << 20
+KEPT_WORDS = 250_000
 _EDGES = re.compile(rb"(\S*)(\s(?:.*\s)?)?(\S*)", re.S)
 _TABLE = np.random.default_rng(16).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -71,23 +70,30 @@ class Encoder:
         self.tokenizer.no_padding()
         self.chunks: dict[bytes, tuple] = {}
         self.joins: dict[bytes, tuple[bytes, str]] = {}
-        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.words = Recent(KEPT_WORDS)
         self.held = 0
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         """Encodes words without white space, all in one call of the library."""
         e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids, tokens = np.array(e.ids, "<u4"), e.tokens
+        ids, tokens = np.array(e.ids, "<u4").tobytes(), e.tokens
         at = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
-        for w, i, j in zip(words, at, at[1:], strict=False):
-            self.words[w] = ids[i:j].tobytes(), " ".join(tokens[i:j])
+        return [(ids[4 * i : 4 * j], " ".join(tokens[i:j])) for i, j in zip(at, at[1:], strict=False)]
 
     def _solve(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """Ids (little-endian) and decoded text of each: those of its words, most of which are known."""
-        split, known = [t.split() for t in texts], self.words
-        new = list({w for ws in split for w in ws if w not in known})
+        split, known, new = [t.split() for t in texts], {}, []
+        for w in {w for ws in split for w in ws}:
+            found = self.words.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                known[w] = found
         for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
+            part = new[i : i + 4096]
+            for w, found in zip(part, self._learn(part), strict=True):
+                known[w] = found
+                self.words.put(w, found)
         out = []
         for ws in split:
             found = [known[w] for w in ws]
@@ -98,8 +104,6 @@ class Encoder:
         """Encodes what of the chunks isn't kept yet."""
         if self.held > KEPT_BYTES:
             self.chunks, self.joins, self.held = {}, {}, 0
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
         new = [c for c in chunks if c not in self.chunks]
         edges = [_EDGES.fullmatch(c).groups() for c in new]
         solved = self._solve([e[1] or b"" for e in edges])
@@ -134,9 +138,8 @@ class Encoder:
         return out
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return worker_wide(f"bpe {path}", lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

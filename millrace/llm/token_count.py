@@ -16,18 +16,16 @@ aren't read.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, read
+from millrace.llm.common import Recent, by_text, read, worker_wide
 
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-#: Words whose count a worker keeps; a full table begins anew.
+#: Words whose count a worker keeps.
 KNOWN_WORDS = 300_000
 
 
@@ -38,7 +36,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@cache
 def vocabulary(path: str) -> list[tuple[str, float]]:
     import sentencepiece
 
@@ -52,7 +49,7 @@ class Counter:
     def __init__(self, vocab: list[tuple[str, float]], unknown: int = 0):
         import ahocorasick
 
-        self.known: dict[str, int] = {}
+        self.known = Recent(KNOWN_WORDS)
         self.unknown, self.low = unknown, min(s for _, s in vocab) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for i, (piece, score) in enumerate(vocab):
@@ -85,9 +82,8 @@ class Counter:
         return pieces[n]
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(vocabulary(path))
+    return worker_wide(f"unigram {path}", lambda: Counter(vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -96,8 +92,6 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         solve, known = counter(path).count, counter(path).known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
         chars, total = [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
@@ -108,7 +102,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for w in (marked if marked[0] == SPACE else SPACE + marked).split(SPACE)[1:]:
                     c = known.get(w)
                     if c is None:
-                        c = known[w] = solve(SPACE + w)
+                        c = solve(SPACE + w)
+                        known.put(w, c)
                     n += c
             chars.append(len(text))
             total.append(n)
