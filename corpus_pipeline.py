@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from millrace.llm import exact_dedup, near_copies, packing, quality_rules, suffix_dedup
 from millrace.llm.common import durable, read
 
 
@@ -23,8 +23,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, fingerprints 6 bits apart at most)."""
-    return simhash.keep_first(docs, size=5, radius=6)
+    """One document of each group of near copies (links of similarity 0.8 or more between sets of five-word shingles)."""
+    return near_copies.keep_first(docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

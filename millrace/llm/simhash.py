@@ -37,20 +37,28 @@ LAST_ID = 2**63 - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The uint64 hash of each run of `size` lower-case words (of all words where there are fewer)."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - size + 1)
     stops = ends[-n:].tolist()
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     h, digest = xxhash.xxh64_intdigest, flat
-    hashes = np.fromiter((h(digest[i:j], SEED) for i, j in zip(starts, stops, strict=True)), "<u8", n)
+    return np.fromiter((h(digest[i:j], SEED) for i, j in zip(starts, stops, strict=True)), "<u8", n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text."""
+    hashes = shingles(text, size)
+    n = len(hashes)
+    if not n:
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         total += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -187,9 +195,14 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Da
 
 def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay, one for each component, with all their columns."""
-    names = docs.columns
     rows = durable(fingerprints(docs, size))
-    same = rows.join(classes(rows, radius), "fp").filter("doc_id = component_id").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n"))
+    return stay(docs, rows, classes(rows, radius))
+
+
+def stay(docs: DataFrame, rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of docs with the smallest id of their component; rows: doc_id, tag, fp; placed: fp, root, component_id."""
+    names = docs.columns
+    same = rows.join(placed, "fp").filter("doc_id = component_id").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n"))
     # of several texts with the id that stays, that with the smallest hash
     first = durable(same.groupBy("root", "doc_id").agg(F.min(F.struct("tag", "n")).alias("x")).select(F.col("doc_id").alias("__doc_id"), F.col("x.tag").alias("__tag"), "x.n"))
     keys = ["__doc_id", "__tag"]
