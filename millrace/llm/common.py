@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import sys
 import tempfile
 import types
@@ -35,24 +36,48 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where that is unset (tests) a temporary one."""
+    """The shared folder in spark.checkpoint.dir; where that is unset and all runs on this machine, a temporary one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+#: Lets Spark remove the shuffle files of an execution when it has ended; set while durable() writes.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder as Parquet and read again: cuts the lineage, and
-    survives lost executors. Column types and names stay; the files go with the folder."""
+    survives lost executors. Column types and names stay; the files go with forget() or with the folder."""
     spark = df.sparkSession
     out = f"{checkpoint_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(out)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that nothing refers to
-    return spark.read.schema(df.schema).parquet(out)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # the writer of a select() made now reads the setting
+        df.select("*").write.option("compression", "zstd").parquet(out)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(out)
+    made.durable_path = out
+    return made
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes what durable() wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        path = getattr(df, "durable_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            df.durable_path = None
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -87,19 +112,47 @@ def reducers(spark: SparkSession, total_bytes: float = 0, each: int = 128 << 20)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // each) + 1)
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until no column in `taken` (any case) has them."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Copies of a row made from one array; more come from several.
+COPIES = 1 << 16
+
+
+def each_copy(df: DataFrame, times: str, copy: str) -> DataFrame:
+    """As many rows of each row as its column `times` says, numbered from 0 in a new column `copy`; column times goes.
+    Any number: the arrays in between have at most COPIES numbers, or one for each COPIES."""
+    part = fresh(df.columns, "part")[0]
+    parts = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))))
+    last = F.least(F.col(times) - 1, (F.col(part) + 1) * COPIES - 1)
+    return parts.withColumn(copy, F.explode(F.sequence(F.col(part) * COPIES, last))).drop(part, times)
+
+
 def normal_text(text: str | F.Column = "text") -> F.Column:
     """Null as empty, each run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:
-    """A broadcast of a model of bounded size; its class travels by value, too. Tasks load it once."""
-    sent, loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+    """A broadcast of a model of bounded size; its class travels by value, too. A Python worker loads it once and keeps
+    it for its next tasks, until there is another."""
+    sent, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     def get() -> object:
-        if not loaded:
-            loaded.append(pickle.loads(sent.value))
-        return loaded[0]
+        held = worker_wide("shared", dict)
+        if name not in held:
+            held.clear()
+            held[name] = pickle.loads(sent.value)
+        return held[name]
 
     return get
 

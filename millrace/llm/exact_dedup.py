@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, normal_text, read
+from millrace.llm.common import durable, each_copy, forget, fresh, normal_text, read
 
 #: Digests in a shard, on average: about 250 KB of slots.
 SHARD_DIGESTS = 5_000
@@ -172,23 +172,24 @@ def decide(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = resolve(digested(docs))
     # equal rows come back as many times as they were; the first copy of the winner stays
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    rows = each_copy(rows, "n", "copy")
     back = lambda c: F.when(F.col(c) < LAST_ID, F.col(c)).alias(c)
-    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)
+    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 0)
     return rows.select(back("doc_id"), back("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each text, with all their columns."""
-    names = [c for c in docs.columns]
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__digest": F.unhex(F.sha2(normal_text(), 256))})
+    names = docs.columns
+    id_, digest = keys = fresh(names, "id", "digest")
+    marked = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), digest: F.unhex(F.sha2(normal_text(), 256))})
     groups = durable(resolve(digested(docs)))
-    winners = groups.filter("doc_id = keep_id").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "n")
-    out = marked.join(winners.filter("n = 1").drop("n"), ["__id", "__digest"], "left_semi")
-    if not winners.filter("n > 1").isEmpty():  # rows equal in doc_id and text: any one of them stays
-        again = marked.join(winners.filter("n > 1").drop("n"), ["__id", "__digest"], "left_semi")
-        out = out.unionByName(again.dropDuplicates(["__id", "__digest"]))
-    return out.select(*names)
+    winners = groups.filter("doc_id = keep_id").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("n").alias("times"))
+    out = marked.join(winners.filter("times = 1").select(*keys), keys, "left_semi")
+    if not winners.filter("times > 1").isEmpty():  # rows equal in doc_id and text: any one of them stays
+        again = marked.join(winners.filter("times > 1").select(*keys), keys, "left_semi")
+        out = out.unionByName(again.dropDuplicates(keys))
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Near copies: all pairs of documents whose sets of word shingles have a Jaccard similarity of NEAR or more, exactly.
 
-A shingle is the XXH64 (seed 42) of `size` lower-case words, as in simhash; a node is a distinct set of them. All sets
-are sorted in one order: shingles that a sample of documents has often come last, the others by hash. Two sets of
-similarity NEAR share one of the first n - ceil(NEAR * n) + 1 shingles of each (the prefix), so nodes that meet in a
-prefix shingle are all the candidates there can be; the order only decides how many meet. Of these, sizes and places
-rule out pairs that cannot reach NEAR, as do counts of the shingles by CELLS cells of their hash (sets differ in at
-least as many shingles as these counts do), and the rest are compared by their whole sets. Groups are what links reach.
+A shingle is the XXH64 (seed 42) of `size` lower-case words, as in simhash; a node is a distinct set of them. Links are
+found in two steps, and each is checked by the whole shingle sets before it counts:
 
-Nodes that share a minimal hash with more than LARGE others are first compared with some of these, the pivots; nodes
-that this already links aren't paired again. So a group of very many copies needs few pairs, and no pair is lost.
+1. SimHash: fingerprints of the shingles within 4 bits of one another, by simhash's covering masks; and, as fingerprints
+   tell little from 0.8 to 0.9, the nodes that share a minimal hash with more than LARGE others, each against some of
+   these (the pivots). This links most copies with few pairs, also in groups of very many.
+2. What 4 bits miss: all sets are sorted in one order, shingles that a sample of documents has often last, the others by
+   hash. Two sets of similarity NEAR share one of the first n - ceil(NEAR * n) + 1 shingles of each (the prefix), so
+   nodes that meet in a prefix shingle are all the candidates there can be. Nodes that step 1 linked (over others, too)
+   aren't paired again. Sizes and places rule out pairs that cannot reach NEAR, as do counts of the shingles by CELLS
+   cells of their hash (sets differ in at least as many shingles as these counts do). So no pair is lost.
+
+To check pairs, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES are dealt in
+blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
 
 Cases: null counts as empty; documents without words are copies of one another; texts under `size` words are one
 shingle; repeated rows share a node; null ids count as LAST_ID and stay only if a group has no other; an empty table
@@ -22,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, durable, pieces, shared, small_batches
+from millrace.llm import simhash
+from millrace.llm.common import by_text, durable, forget, reducers, shared
 from millrace.llm.components import components
-from millrace.llm.simhash import named, shingles, stay
+from millrace.llm.simhash import majority, named, shingles, stay
 
 SIZE = 5
 #: The least similarity of a link, as a fraction.
@@ -36,6 +42,8 @@ LARGE, PIVOTS = 64, 16
 #: Rows of a bucket above which the commonest group's rows aren't compared with one another.
 BUCKET = 1024
 CELLS = 64
+#: Bytes of sets that a component's check has in one block; bytes of rows or sets in a task.
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 48 << 20
 
 
 def similar(n: int, m: int, both: int) -> bool:
@@ -72,7 +80,8 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each row of docs: doc_id, tag, node, n (shingles), keys (minimal hashes), prefix, cells (counts, a byte each)."""
+    """A row for each row of docs: doc_id, tag, node, n (shingles), fp (fingerprint),
+    keys (minimal hashes), prefix, cells (counts, a byte each)."""
     common = shared(docs.sparkSession, common_shingles(docs, size))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -80,10 +89,12 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
 
         listed, often = common()
         p, q = NEAR
-        nodes, sizes, keys, heads, cells = [], [], [], [], []
+        nodes, sizes, prints, keys, heads, cells = [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
-            s = shingle_set(text, size)
+            every = shingles(text, size)
+            s = np.unique(every)
             n = len(s)
+            prints.append(majority(every))
             rank = np.zeros(n, np.int64)
             if len(listed) and n:
                 at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
@@ -93,10 +104,10 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
             keys.append(signed(np.array([((s ^ (s >> np.uint64(29))) * np.uint64(k)).min() for k in KEYS] if n else [], np.uint64)))
             cells.append(np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
             heads.append(signed(s[np.lexsort((s, rank))[: n - -(-p * n // q) + 1]]))
-        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "keys", "prefix", "cells"])
+        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(signed(np.array(prints, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "fp", "keys", "prefix", "cells"])
 
-    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, keys array<long>, prefix array<long>, cells binary")
+    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, fp long, keys array<long>, prefix array<long>, cells binary")
 
 
 def sets(docs: DataFrame, rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
@@ -110,37 +121,64 @@ def sets(docs: DataFrame, rows: DataFrame, chosen: DataFrame, size: int) -> Data
     return by_text(with_text(docs).join(one, ["doc_id", "tag"]).select("node", "text"), run, "node long, members binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """pairs: a, b, x, y (the members of each). Links a, b of similarity NEAR or more."""
-    small_batches(pairs.sparkSession)
-
-    def run(batches):
-        for b in pieces(batches, "x"):
-            sides = ([np.frombuffer(m, "<u8") for m in b.column(c).to_pylist()] for c in ("x", "y"))
-            near = [similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(*sides, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def pivot_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame | None:
-    """Links of nodes that share a minimal hash with many others to the pivots among these; None where there are none."""
+def _checked(batches):
+    """Rows of whole cells: sets (cell, node, members) and pairs (cell, a, b). The pairs of similarity NEAR or more."""
+    sets_, pairs = {}, []
+    for batch in batches:
+        cell, node, a, b, members = (batch.column(c).to_pylist() for c in ("cell", "node", "a", "b", "members"))
+        for i, m in enumerate(members):
+            if m is None:
+                pairs.append((cell[i], a[i], b[i]))
+            else:
+                sets_[cell[i], node[i]] = np.frombuffer(m, "<u8")
+    near = []
+    for cell, a, b in pairs:
+        x, y = sets_[cell, a], sets_[cell, b]
+        if similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))):
+            near.append((a, b))
+    if near:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*near, strict=True)], names=["a", "b"])
+
+
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """pairs: distinct a, b. Those of similarity NEAR or more, by whole sets."""
+    having = durable(sets(docs, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), size))
+    roots = durable(components(pairs))
+    sized = roots.join(having.select("node", F.octet_length("members").alias("bytes")), "node")
+    large = durable(sized.groupBy("root").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > BLOCK_BYTES))
+    blocks = F.coalesce(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
+    placed = durable(roots.join(large, "root", "left").select("node", "root", F.pmod(F.xxhash64("node"), blocks).alias("block")))
+    at = pairs
+    for node, block in (("a", "i"), ("b", "j")):
+        at = at.join(placed.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"), F.col("block").alias(block)), node)
+    at = durable(at.select("a", "b", F.xxhash64("root_a", F.least("i", "j"), F.greatest("i", "j")).alias("cell")))
+    needed = at.select("cell", F.col("a").alias("node")).union(at.select("cell", "b")).distinct()
+    shipped = needed.join(having, "node").select("cell", "node", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
+    listed = at.select("cell", F.lit(None).cast("long").alias("node"), "a", "b", F.lit(None).cast("binary").alias("members"))
+    total = having.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    parts = reducers(docs.sparkSession, total, TASK_BYTES)
+    made = durable(shipped.union(listed).repartition(parts, "cell").mapInArrow(_checked, "a long, b long"))
+    forget(having, roots, large, placed, at)
+    return made
+
+
+def first_pairs(nodes: DataFrame) -> DataFrame:
+    """Step 1: pairs of nodes that fingerprints or minimal hashes suggest."""
+    # nodes with one fingerprint hang on the first of them; linked fingerprints' first nodes on one another
+    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    found = durable(simhash.links(first.select("fp")))
+    linked = found.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = nodes.select("node", "fp").join(first, "fp").select("node", "head")
     keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
     large = durable(keyed.groupBy("k", "key").agg(F.count("*").alias("many")).filter(F.col("many") > LARGE))
-    if large.isEmpty():
-        return None
     members = durable(keyed.join(large, ["k", "key"]))
-    having = durable(sets(docs, rows, members.select("node"), size))
     chosen = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / PIVOTS)) == 0
     pivots = members.filter(chosen).select("k", "key", F.col("node").alias("b"))
-    pairs = durable(members.select("k", "key", F.col("node").alias("a")).join(pivots, ["k", "key"]).filter("a != b").select("a", "b").distinct())
-    return durable(verified(with_members(pairs, having)))
-
-
-def with_members(pairs: DataFrame, having: DataFrame) -> DataFrame:
-    for node, members in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(having.select(F.col("node").alias(node), F.col("members").alias(members)), node)
-    return pairs
+    near = members.select("k", "key", F.col("node").alias("a")).join(pivots, ["k", "key"]).select("a", "b")
+    pairs = linked.union(same).union(near).toDF("a", "b").filter("a != b")
+    out = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(first, found, large, members)
+    return out
 
 
 def _could(n, i, m, j):
@@ -204,37 +242,43 @@ def _paired(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def links(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """rows: what prefixes() gives. Links a, b of nodes that connect all pairs of similarity NEAR or more, and no others."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = durable(rows.groupBy("node").agg(F.first(F.struct("n", "keys", "prefix", "cells")).alias("x")).select("node", "x.n", "x.keys", "x.prefix", "x.cells"))
-    known = pivot_links(docs, rows, nodes, size)
-    if known is None:
-        rooted = nodes.withColumn("root", F.col("node"))
-    else:
-        roots = durable(components(known))
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    buckets = rooted.select("node", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition(parts, "h")
-    pairs = durable(buckets.select("h", "node", "n", "i", "root").mapInArrow(_paired, "a long, b long").distinct())
+def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """rows: doc_id, tag, node; nodes: what prefixes() says of each. Links a, b of nodes that connect all pairs of
+    similarity NEAR or more, and no others."""
+    spark = docs.sparkSession
+    pairs = first_pairs(nodes)
+    known = verified(docs, rows, pairs, size)
+    roots = durable(components(known))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    buckets = rooted.select("node", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition(reducers(spark, 32 * entries, TASK_BYTES), "h")
+    met = durable(buckets.select("h", "node", "n", "i", "root").mapInArrow(_paired, "a long, b long").distinct())
+    left = met
     for node, n, cells in (("a", "n", "x"), ("b", "m", "y")):
-        pairs = pairs.join(nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("cells").alias(cells)), node)
-    pairs = durable(possible(pairs))
-    having = durable(sets(docs, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), size))
-    made = verified(with_members(pairs, having))
-    return made if known is None else made.unionByName(known)
-
-
-def classes(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """A row for each node: fp (the node), root, component_id (the smallest doc_id of its group)."""
-    roots = components(links(docs, rows, size))
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+        left = left.join(nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("cells").alias(cells)), node)
+    left = durable(possible(left))
+    forget(met, roots, pairs)
+    return verified(docs, rows, left, size).unionByName(known)
+
+
+def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups). rows: doc_id, tag, fp (the node) of each row of docs; groups, for each node: fp, root,
+    component_id (the smallest doc_id of its group)."""
+    every = durable(prefixes(docs, size))
+    light = durable(every.select("doc_id", "tag", "node"))
+    nodes = durable(every.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "prefix", "cells")).alias("x")).select("node", "x.n", "x.fp", "x.keys", "x.prefix", "x.cells"))
+    forget(every)
+    linked = durable(links(docs, light, nodes, size))
+    forget(nodes)
+    roots = durable(components(linked))
+    least = light.groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = durable(least.join(roots, "node", "left").select(F.col("node").alias("fp"), "least", F.coalesce("root", "node").alias("root")))
     # written out, so that the join has its own exchange, which Spark splits where a group is large
     first = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    return placed.join(first, "root").select("fp", "root", "component_id")
+    forget(linked, roots)
+    return light.select("doc_id", "tag", F.col("node").alias("fp")), placed.join(first, "root").select("fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs that stay, one for each group of near copies, with all their columns."""
-    rows = durable(prefixes(docs, size))
-    return stay(docs, rows.select("doc_id", "tag", F.col("node").alias("fp")), classes(docs, rows, size))
+    return stay(docs, *classes(docs, size))

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of CAPACITY words.
 
 A bin takes at most one document of a source and one of a duplicate cluster (documents whose normalised texts are
-equal). Rows are dealt by hash into groups of about GROUP documents, and each group is packed alone, from the largest
+equal). Rows are dealt by a hash of their content into groups of about GROUP documents, and each group is packed alone, from the largest
 item down: an item goes to the tightest bin that it fits and that holds neither its source nor its cluster (the oldest
 of equals), else to a new one. Bins hang on their residual; a bit set of occupied residuals gives the successor. For
 keys (sources, clusters) with many items in the group, bins carry a bitmap and each such key has its own bit set of
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import normal_text, read
+from millrace.llm.common import durable, each_copy, normal_text, read
 
 CAPACITY = 2048
 GROUP = 20_000
@@ -96,17 +96,19 @@ PLACED = "doc_id long, piece int, first_word long, n_words long, bin_id long, bi
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items: doc_id, size (words), source, cluster. A row for each piece: PLACED."""
-    n = items.count()
+    # equal rows are numbered, so that they are spread, too, and in the same way however the rows lie in files
+    counted = durable(items.groupBy("doc_id", "size", "source", "cluster").agg(F.count("*").alias("times")))
+    n = counted.agg(F.sum("times")).first()[0] or 0
     groups = max(1, -(-n // group))
-    # a hash of the row's place besides its id: rows with the same id or a null one are spread, too
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(groups)))
+    each = each_copy(counted, "times", "copy")
+    dealt = each.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", "source", "cluster", "copy"), F.lit(groups))).drop("copy")
 
     def run(table: pa.Table) -> pa.Table:
         ids, size = table.column("doc_id").to_pylist(), table.column("size").to_numpy()
         source, cluster = table.column("source").to_pylist(), table.column("cluster").to_pylist()
         base = table.column("grp")[0].as_py() << 32
         rest = [int((x - 1) % capacity + 1) if x else 0 for x in size]
-        order = sorted(range(len(ids)), key=lambda i: (-rest[i], ids[i] is None, ids[i] or 0, source[i] or "", cluster[i] or 0))
+        order = sorted(range(len(ids)), key=lambda i: (-rest[i], ids[i] is None, ids[i] or 0, source[i] or "", cluster[i] or 0, int(size[i])))
         keys = [tuple(x for x in (("s", source[i]), ("c", cluster[i])) if x[1] is not None) for i in order]
         bins = best_fit([rest[i] for i in order], keys, capacity)
         rows, used, fresh = [], Counter(), max(bins, default=-1) + 1

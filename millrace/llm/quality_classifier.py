@@ -1,21 +1,21 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are what its words look like: their shape (letters by case, digits, marks), their first three letters,
-and marks for a word or a line that repeats. TF-IDF over the at most TERMS commonest terms of at most EXAMPLES labelled
-documents (bounds on the sample that the classifier is fitted on) goes through a truncated singular value decomposition
-to DIMENSIONS. The examples' vectors are broadcast (EXAMPLES * DIMENSIONS numbers); every document's cosine with all of
-them comes from blocked matrix products, exactly, and its K nearest vote with the power of their similarity.
+A text's terms are its words as they stand (between white space), and three that no word can be: how many words repeat
+the one before them, how many pairs of neighbours occurred before in the text, and how many lines did. TF-IDF over all
+terms of at most EXAMPLES labelled documents with at most SAMPLE_BYTES of text (the bounds on the sample that the
+classifier is fitted on) goes through a truncated singular value decomposition to DIMENSIONS. The examples' terms and
+vectors are broadcast; every document's cosine with all of them comes from blocked matrix products, exactly, and its K
+nearest (ties, to six decimals, go to the earlier example) vote with the power of their similarity.
 
 Cases: null and empty texts, and those without a known term, get the base rate; rows are scored one by one, so repeated
-rows and null ids have rows of their own; ties go to the earlier example; no labels: the score is 0.1 everywhere; an
-empty table gives no rows.
+rows and null ids have rows of their own; no labels: the score is 0.1 everywhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,122 +26,169 @@ from millrace.llm.common import by_text, read, shared
 from millrace.llm.labelled import base_rate, remainder, sample
 
 EXAMPLES = 4000
-TERMS = 1024
-DIMENSIONS = 48
+SAMPLE_BYTES = 32 << 20
+DIMENSIONS = 16
 K = 15
 POWER = 8
 PRIOR = 0.05
 ROWS = 512
 MODULUS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-_RUN = re.compile(r"(.)\1+", re.S)
+#: Terms that no word can be, as they have spaces.
+SAME, AGAIN, LINE = "word as before", "pair again", "line again"
 
 
-def shape(word: str) -> str:
-    """A for capitals, a for other letters, 0 for digits, other signs as they are; runs count once."""
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:12]
-
-
-def terms(text: str, shapes: dict[str, str]) -> Counter:
-    """Counts of a text's terms. shapes: a cache."""
+def terms(text: str | None) -> Counter:
+    """Counts of a text's terms."""
+    text = text or ""
     words = text.split()
-    counts: Counter = Counter()
-    for w, n in Counter(words).items():
-        s = shapes.get(w)
-        if s is None:
-            s = shapes[w] = shape(w)
-        counts["s" + s] += n
-        counts["w" + w[:3].lower()] += n
-    counts["=word"] = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    pairs = list(zip(words, words[1:], words[2:], words[3:], strict=False))
-    counts["=four"] = len(pairs) - len(set(pairs))
+    counts = Counter(words)
+    pairs = list(zip(words, words[1:], strict=False))
     lines = [x for x in text.split("\n") if x.strip()]
-    counts["=line"] = 5 * (len(lines) - len(set(lines)))
+    for name, n in ((SAME, sum(a == b for a, b in pairs)), (AGAIN, len(pairs) - len(set(pairs))), (LINE, len(lines) - len(set(lines)))):
+        if n:
+            counts[name] = n
     return counts
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+@dataclass
+class Sparse:
+    """A matrix by rows (examples) with unit-length rows: row i has terms[ptr[i] : ptr[i + 1]] and their weights."""
+
+    ptr: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    width: int
+
+    @cached_property
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.terms, kind="stable")
+        rows = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
+        return np.searchsorted(self.terms[order], np.arange(self.width + 1)), rows[order], self.weights[order]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return _sums(self.ptr, self.terms, self.weights, m)
+
+    def transposed_times(self, m: np.ndarray) -> np.ndarray:
+        return _sums(*self.by_term, m)
+
+
+def _sums(ptr: np.ndarray, at: np.ndarray, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each i the sum of weights[j] * m[at[j]] over j from ptr[i] to ptr[i + 1]; a bounded part at a time."""
+    out = np.zeros((len(ptr) - 1, m.shape[1]), np.float32)
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(ptr, ptr[first] + (1 << 17), "right")) - 1)
+        a, b = ptr[first], ptr[last]
+        own = np.flatnonzero(ptr[first + 1 : last + 1] > ptr[first:last]) + first
+        if len(own):
+            out[own] = np.add.reduceat(weights[a:b, None] * m[at[a:b]], ptr[own] - a, axis=0)
+        first = last
+    return out
+
+
+def decompose(x: Sparse, rank: int) -> np.ndarray:
+    """A matrix c so that the leading right singular vectors of x are x' c, by a randomised range finder (fixed seed)."""
+    n = len(x.ptr) - 1
+    rank = min(rank, n, x.width)
+    drawn = np.random.default_rng(7).standard_normal((x.width, min(rank + 10, n, x.width)), dtype=np.float32)
+    q = np.linalg.qr(x.times(drawn))[0]
+    for _ in range(2):
+        q = np.linalg.qr(x.times(x.transposed_times(q)))[0]
+    b = x.transposed_times(q)  # its columns' left singular vectors are wanted
+    values, u = np.linalg.eigh(b.T.astype(np.float64) @ b)
+    values, u = values[::-1][:rank], u[:, ::-1][:, :rank]
+    kept = values > 1e-9 * max(values[0], 1e-30)
+    return (q @ (u[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     idf: np.ndarray
-    basis: np.ndarray
+    examples: Sparse
+    combined: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     base: float
 
+    @cached_property
+    def basis(self) -> np.ndarray:
+        """A row of DIMENSIONS numbers for each term; made from the examples where it's used, which are much smaller."""
+        return self.examples.transposed_times(self.combined)
+
     def rows(self, counts: list[Counter]) -> np.ndarray:
         """Latent vectors of length 1 (zero where no term is known)."""
-        out = np.zeros((len(counts), len(self.vocabulary)), np.float32)
+        out = np.zeros((len(counts), self.combined.shape[1]), np.float32)
         for i, c in enumerate(counts):
-            at = [(self.vocabulary[t], n) for t, n in c.items() if n > 0 and t in self.vocabulary]
+            at = [(self.vocabulary[t], n) for t, n in c.items() if t in self.vocabulary]
             if at:
-                j, n = zip(*at, strict=True)
-                out[i, list(j)] = 1 + np.log(n)
-        return unit(unit(out * self.idf) @ self.basis)
+                j, n = map(np.array, zip(*at, strict=True))
+                w = (1 + np.log(n)) * self.idf[j]
+                out[i] = (w / np.sqrt((w * w).sum())).astype(np.float32) @ self.basis[j]
+        return unit(out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), self.base)
         cosine = x @ self.vectors.T
-        k = min(K, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        n = cosine.shape[1]
+        k = min(K, n)
+        # whole numbers that order by similarity, then by place
+        order = np.rint(cosine * (1 << 20)).astype(np.int64) * n - np.arange(n)
+        near = np.argpartition(-order, k - 1, axis=1)[:, :k]
         s = np.clip(np.take_along_axis(cosine, near, axis=1), 0, 1).astype(np.float64) ** POWER * self.weights[near]
         return ((s * self.labels[near]).sum(axis=1) + PRIOR * self.base) / (s.sum(axis=1) + PRIOR)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-
-
-def decompose(x: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors, as columns, by a randomised range finder (fixed seed)."""
-    rank = min(rank, *x.shape)
-    q = np.linalg.qr(x @ np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 10, *x.shape))))[0]
-    for _ in range(4):
-        q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
-    return np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-
-
-def build(rows: list[tuple[int, int, dict[str, int]]], base: float) -> Model:
+def build(rows: list[tuple[int, int, Counter]], base: float) -> Model:
     """rows: doc_id, label, counts of terms. Each label's examples together weigh as its base rate."""
     rows = sorted(rows, key=lambda r: r[0])
-    df = Counter(t for _, _, c in rows for t, n in c.items() if n > 0)
-    kept = sorted(sorted(df, key=lambda t: (-df[t], t))[:TERMS])
+    number: dict[str, int] = {}
+    for _, _, counts in rows:
+        for t in counts:
+            number.setdefault(t, len(number))
+    n = len(rows)
+    ptr = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows], dtype=np.int64)]).astype(np.int64)
+    t = np.fromiter((number[x] for r in rows for x in r[2]), np.int32, ptr[-1])
+    tf = np.fromiter((c for r in rows for c in r[2].values()), np.float64, ptr[-1])
+    doc = np.repeat(np.arange(n), np.diff(ptr))
+    idf = np.log((1 + n) / (1 + np.bincount(t, minlength=len(number)))) + 0.1
+    w = (1 + np.log(tf)) * idf[t]
+    w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=n))[doc]
+    x = Sparse(ptr, t, w.astype(np.float32), len(number))
     labels = np.array([r[1] for r in rows], float)
-    idf = np.log((1 + len(rows)) / (1 + np.array([df[t] for t in kept], np.float32))) + 0.1 if kept else np.empty(0, np.float32)
-    ones = max(labels.mean(), 1e-9) if len(rows) else 1.0
+    ones = max(labels.mean(), 1e-9) if n else 1.0
     weights = np.where(labels == 1, base / ones, (1 - base) / max(1 - ones, 1e-9))
-    model = Model({t: i for i, t in enumerate(kept)}, idf.astype(np.float32), np.eye(len(kept), dtype=np.float32), np.empty((0, 0)), labels, weights, base)
-    if kept:
-        x = model.rows([r[2] for r in rows])
-        model.basis = decompose(x, DIMENSIONS)
-        model.vectors = unit(x @ model.basis)
+    combined = decompose(x, DIMENSIONS) if n and number else np.empty((n, 0), np.float32)
+    model = Model(number, idf, x, combined, np.empty((n, combined.shape[1]), np.float32), labels, weights, base)
+    if combined.shape[1]:
+        model.vectors = unit(x.times(model.basis))
+        del model.__dict__["basis"]  # workers make it anew
+        x.__dict__.pop("by_term", None)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """The model of a bounded sample. Each example sends at most TERMS of its commonest terms here."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shapes: dict[str, str] = {}
-        made = [terms(t, shapes).most_common(TERMS) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([[k for k, _ in m] for m in made], pa.list_(pa.string())), pa.array([[n for _, n in m] for m in made], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
-
-    rows = by_text(sample(docs, labels, label, MODULUS, HELD_OUT, EXAMPLES), run, "doc_id long, label int, terms array<string>, counts array<int>").collect()
-    return build([(r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], base_rate(labels, label, MODULUS, HELD_OUT))
+    """The model of a bounded sample."""
+    rows = sample(docs, labels, label, MODULUS, HELD_OUT, EXAMPLES, SAMPLE_BYTES)
+    return build([(i, y, terms(text)) for i, y, text in rows], base_rate(labels, label, MODULUS, HELD_OUT))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted."""
-    sent = shared(docs.sparkSession, model)  # its size is bound by EXAMPLES, TERMS and DIMENSIONS
+    sent = shared(docs.sparkSession, model)  # its size is bound by EXAMPLES, SAMPLE_BYTES and DIMENSIONS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, shapes, scores = sent(), {}, []
+        m, scores = sent(), []
         texts = batch.column("text").to_pylist()
         for i in range(0, len(texts), ROWS):
-            counts = [terms(t or "", shapes) for t in texts[i : i + ROWS]]
-            scores.append(m.score(m.rows(counts)))
+            scores.append(m.score(m.rows([terms(t) for t in texts[i : i + ROWS]])))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
 
     scored = by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")

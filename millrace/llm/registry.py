@@ -13,5 +13,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "shards_of_256k": sharding.shards_of_256k,
+    "shard_directory": sharding.shard_directory,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op4_extendible_sharding": sharding.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op4_extendible_sharding": sharding.SQL, "shards_of_256k": sharding.SQL_SMALL, "shard_directory": sharding.SQL_DIRECTORY}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, durable, read
+from millrace.llm.common import by_text, durable, fresh, read, reducers
 from millrace.llm.components import components
 
 RADIUS = 4
@@ -33,6 +33,8 @@ SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints compared within one bucket before it is dealt again.
 BUCKET = 4096
+#: Bytes of a dealt fingerprint in a task, and of all of them in a task.
+ROW_BYTES, TASK_BYTES = 48, 64 << 20
 LAST_ID = 2**63 - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -55,7 +57,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text."""
-    hashes = shingles(text, size)
+    return majority(shingles(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     n = len(hashes)
     if not n:
         return 0
@@ -149,11 +155,14 @@ def _dealt_again(radius: int):
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints: distinct fp (long, the fingerprint's bits). Links a, b that connect all within the radius."""
     spark = prints.sparkSession
+    rows = (prints.count() + 1) * len(masks_of(radius))
+    parts = reducers(spark, rows * ROW_BYTES, TASK_BYTES)
+    # dealt anew before each row becomes 31, so that this isn't left to the few tasks that a small table has
+    prints = prints.repartition(parts, "fp")
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks_of(radius))]))
     dealt = prints.select("fp", table.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("kept"), "fp")
     sizes = dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     large = durable(sizes.select("t", "kept"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not large.isEmpty():
         again = dealt.join(large, ["t", "kept"], "left_semi").select("t", "fp").mapInArrow(_dealt_again(radius), "t int, kept long, fp long")
         dealt = dealt.join(large, ["t", "kept"], "left_anti").select("t", "kept", "fp").unionByName(again)
@@ -202,15 +211,16 @@ def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFram
 def stay(docs: DataFrame, rows: DataFrame, placed: DataFrame) -> DataFrame:
     """The rows of docs with the smallest id of their component; rows: doc_id, tag, fp; placed: fp, root, component_id."""
     names = docs.columns
+    id_, tag = keys = fresh(names, "id", "tag")
     same = rows.join(placed, "fp").filter("doc_id = component_id").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n"))
     # of several texts with the id that stays, that with the smallest hash
-    first = durable(same.groupBy("root", "doc_id").agg(F.min(F.struct("tag", "n")).alias("x")).select(F.col("doc_id").alias("__doc_id"), F.col("x.tag").alias("__tag"), "x.n"))
-    keys = ["__doc_id", "__tag"]
-    marked = docs.select(*names, *named("__"))
-    out = marked.join(first.filter("n = 1").select(*keys), keys, "left_semi")
-    if not first.filter("n > 1").isEmpty():  # rows equal in id and text: any one of them stays
-        out = out.unionByName(marked.join(first.filter("n > 1").select(*keys), keys, "left_semi").dropDuplicates(keys))
-    return out.select(*names)
+    first = durable(same.groupBy("root", "doc_id").agg(F.min(F.struct("tag", "n")).alias("x")).select(F.col("doc_id").alias(id_), F.col("x.tag").alias(tag), F.col("x.n").alias("times")))
+    mark = dict(zip(keys, named(), strict=True))
+    marked = docs.withColumns(mark)
+    out = marked.join(first.filter("times = 1").select(*keys), keys, "left_semi")
+    if not first.filter("times > 1").isEmpty():  # rows equal in id and text: any one of them stays
+        out = out.unionByName(marked.join(first.filter("times > 1").select(*keys), keys, "left_semi").dropDuplicates(keys))
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

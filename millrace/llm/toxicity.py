@@ -1,18 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples: at most EXAMPLES labelled documents (a bound on the sample the classifier is fitted on). Terms: lower-case
-words and their first 3 to 9 letters; the vocabulary is the at most TERMS terms that speak for the label most, by the
-log-likelihood ratio. Weights are (1 + log tf) * idf, vectors have length 1.
-
-Examples lie in blocks of BLOCK; the inverted index has, for each term and block, its postings and their largest
+Examples: at most EXAMPLES labelled documents with at most SAMPLE_BYTES of text (the bounds on the sample that the
+classifier is fitted on). Terms: all lower-case words of the examples and the
+first BEGINNING letters of longer ones; none is left out. A term weighs
+(1 + log tf) * idf * relevance, where relevance is the square root of the share of the label's entropy that the term
+tells in the examples; without it, what texts are about hides a few insults. Vectors have length 1 over all their terms;
+a word that no example has tells nothing and weighs 0.
+
+Examples lie in blocks of BLOCK; the inverted index has, for each term and block with it, its postings and their largest
 weight. A document's bound for a block is the sum of its weights times these maxima. Blocks are opened from the largest
 bound down, until the bound falls under the similarity of the K-th neighbour so far: no skipped example could enter,
 so the K neighbours are exact (ties go to the earlier example).
 
 Votes: each neighbour counts as much as it is similar, the label's base rate as much as PRIOR; leave-one-out votes of
-the examples, weighed back to the base rate, calibrate the vote by logistic regression. Evidence: the neighbours' ids.
+CALIBRATION examples, weighed back to the base rate, calibrate the vote by logistic regression. Evidence: the ids of
+the three nearest.
 
-Cases: null and empty texts, and texts without a term of the vocabulary, have no neighbour and get the base rate among
+Cases: null and empty texts, and texts without a word of the examples, have no neighbour and get the base rate among
 the examples without one; ties, repeated rows and null ids: rows are scored one by one; no labels: the score is
 0.1 everywhere; an empty table gives no rows.
 """
@@ -20,6 +24,7 @@ the examples without one; ties, repeated rows and null ids: rows are scored one
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,105 +35,134 @@ from pyspark.sql import functions as F
 from millrace.llm.common import by_text, read, shared
 from millrace.llm.labelled import base_rate, remainder, sample
 
-EXAMPLES = 4000
-TERMS = 2048
-LEAST_RATIO = 20.0
-LEAST_DOCS = 3
+EXAMPLES = 2000
+SAMPLE_BYTES = 32 << 20
+CALIBRATION = 1000
+#: Letters of the beginning of a word that is a term besides the word.
+BEGINNING = 5
 BLOCK = 64
+#: Blocks opened at first; each further step opens four times as many.
+OPENED = 4
 K = 15
+#: Words whose terms a worker keeps.
+KNOWN_WORDS = 500_000
 PRIOR = 0.05
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Letters of the beginnings of words that are terms besides the words.
-BEGINNINGS = range(3, 10)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(w: str) -> list[str]:
-    """A word, and its proper beginnings."""
-    return [w, *(w[:n] + "-" for n in BEGINNINGS if n < len(w))]
+def words(text: str | None) -> Counter:
+    """How often each lower-case word occurs."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of a text's terms, and how often each occurs."""
-    import xxhash
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word, word[:BEGINNING] + "-") if len(word) > BEGINNING else (word,)
 
-    h, counts = xxhash.xxh64_intdigest, {}
-    for w in _WORD.findall(text.lower()):
-        counts[w] = counts.get(w, 0) + 1
-    made: dict[int, int] = {}
-    for w, n in counts.items():
-        for t in word_terms(w):
-            k = h(t)
-            made[k] = made.get(k, 0) + n
-    return np.fromiter(made.keys(), np.uint64, len(made)), np.fromiter(made.values(), np.int64, len(made))
 
+def terms(counts: Counter) -> Counter:
+    """How often each term occurs, from counts of words."""
+    out: Counter = Counter()
+    for w, n in counts.items():
+        for t in terms_of(w):
+            out[t] += n
+    return out
 
-def known_terms(known: set[int]):
-    """A function from a word to those of its terms' hashes that are known."""
-    import xxhash
 
-    h = xxhash.xxh64_intdigest
-    return lambda w: tuple(k for k in map(h, word_terms(w)) if k in known)
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ... (count[i] of them), one range after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index. Postings of term t in block b: start[t, b] to start[t, b + 1]."""
+    """Block-max inverted index. Term t has the cells cells[t] to cells[t + 1]; cell c says for block[c] the largest
+    weight most[c], and has the postings postings[c] to postings[c + 1] (example, weight)."""
 
-    vocabulary: dict[int, int]
-    idf: np.ndarray
+    vocabulary: dict[str, int]
+    factor: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    start: np.ndarray
+    cells: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    postings: np.ndarray
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray
     base: float
     logit: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
     alone: float = 0.1
+    #: The numbers of a word's terms, for the words met so far.
+    numbers: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, ascending, and weights (of length 1) from counts of words."""
+        if len(self.numbers) > KNOWN_WORDS:
+            self.numbers.clear()
+        known, t, tf = self.numbers, [], []
+        for w, n in counts.items():
+            found = known.get(w)
+            if found is None:
+                found = known[w] = tuple(self.vocabulary[x] for x in terms_of(w) if x in self.vocabulary)
+            for x in found:
+                t.append(x)
+                tf.append(n)
+        t, at = np.unique(np.array(t, np.int64), return_inverse=True)
+        w = (1 + np.log(np.bincount(at, weights=tf, minlength=len(t)))) * self.factor[t]
+        return t, w / max(np.sqrt((w * w).sum()), 1e-12)
 
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with a similarity over 0, and these; `but` is left out."""
-        bound = q @ self.most[t]
-        found_s, found_e, floor = np.empty(0), np.empty(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < floor - 1e-9:
+        n = len(self.labels)
+        first_cell, end = self.cells[t], self.cells[t + 1]
+        count = end - first_cell
+        cell, weight = spread(first_cell, count), np.repeat(q, count)
+        block = self.block[cell]
+        bound = np.bincount(block, weights=weight * self.most[cell], minlength=-(-n // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        s, floor, first, step = np.zeros(n), 0.0, 0, OPENED
+        found, near = np.empty(0, np.int64), np.empty(0)
+        while first < len(order):
+            chosen = order[first : first + step]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= floor - 1e-9)]
+            if not len(chosen):
                 break
-            s = np.zeros(BLOCK)
-            for i, w in zip(t, q, strict=True):
-                x, y = self.start[i, b], self.start[i, b + 1]
-                if y > x:
-                    s[self.example[x:y] - b * BLOCK] += w * self.weight[x:y]
-            if but // BLOCK == b:
-                s[but % BLOCK] = 0
-            own = np.flatnonzero((s > 0) & (s >= floor - 1e-12))
-            if not len(own):
-                continue
-            found_s, found_e = np.append(found_s, s[own]), np.append(found_e, own + b * BLOCK)
-            if len(found_s) > k:
-                best = np.lexsort((found_e, -np.round(found_s, 12)))[:k]
-                found_s, found_e = found_s[best], found_e[best]
-            if len(found_s) == k:
-                floor = found_s.min()
-        best = np.lexsort((found_e, -np.round(found_s, 12)))
-        return found_e[best], found_s[best]
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights (of length 1) from counts of vocabulary terms."""
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in t], float))) * self.idf[t]
-        return t, w / max(np.sqrt((w * w).sum()), 1e-12)
+            if 2 * len(chosen) > len(order):  # nearly all: all postings of a term at once, then the chosen blocks only
+                begin, of = self.postings[first_cell], q
+                size = self.postings[end] - begin
+            else:
+                open_ = np.zeros(len(order), bool)
+                open_[chosen] = True
+                own = open_[block]
+                c, of = cell[own], weight[own]
+                begin = self.postings[c]
+                size = self.postings[c + 1] - begin
+            at = spread(begin, size)
+            s = np.bincount(self.example[at], weights=np.repeat(of, size) * self.weight[at], minlength=n)
+            if first:
+                s[found] = 0
+            if but >= 0:
+                s[but] = 0
+            new = np.flatnonzero((s > 0) & (s >= floor - 1e-9))
+            found, near = np.append(found, new), np.append(near, s[new])
+            best = np.lexsort((found, -np.round(near, 9)))[:k]
+            found, near = found[best], near[best]
+            if len(near) == k:
+                floor = near[-1]
+            first, step = first + step, step * 4
+        return found, near
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         return float((s @ self.labels[e] + PRIOR * self.base) / (s.sum() + PRIOR))
 
-    def score(self, t: np.ndarray, q: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        e, s = self.nearest(t, q, but=but)
+    def score(self, t: np.ndarray, q: np.ndarray) -> tuple[float, np.ndarray]:
+        e, s = self.nearest(t, q) if len(t) else (np.empty(0, np.int64), None)
         if not len(e):
-            return self.alone, e, s
+            return self.alone, e
         a, b, c = self.logit
-        return float(1 / (1 + np.exp(-np.clip(a + b * self.vote(e, s) + c * s[0], -30, 30)))), e, s
+        return float(1 / (1 + np.exp(-np.clip(a + b * self.vote(e, s) + c * s[0], -30, 30)))), e
 
 
 def fit_logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> list[float]:
@@ -145,88 +179,98 @@ def fit_logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) ->
     return [float(v) for v in beta]
 
 
-def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], base: float) -> Index:
-    """rows: doc_id, label, term hashes, counts."""
+def first_of(doc: np.ndarray, t: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """For each of n documents the term with the largest value (the lowest of equals); -1 without terms."""
+    by = np.lexsort((t, -value, doc))
+    head = by[np.concatenate([[True], doc[by][1:] != doc[by][:-1]])] if len(by) else by
+    out = np.full(n, -1)
+    out[doc[head]] = t[head]
+    return out
+
+
+def relevance(df: np.ndarray, ones: np.ndarray, n: int, n_ones: float) -> np.ndarray:
+    """For terms in df of n examples, `ones` of them with label 1: from nearly 0 to 1, the square root of the share of
+    the label's entropy that presence of the term tells. 1 for all where there is one label only."""
+
+    def x_log_x(x):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0)
+
+    entropy = x_log_x(np.array(float(n))) - x_log_x(np.array(n_ones)) - x_log_x(np.array(n - n_ones))
+    if entropy <= 0:
+        return np.ones(len(df))
+    inside = x_log_x(df) - x_log_x(ones) - x_log_x(df - ones)
+    outside = x_log_x(n - df) - x_log_x(n_ones - ones) - x_log_x(n - n_ones - df + ones)
+    return np.sqrt((np.maximum(entropy - inside - outside, 0) + 0.01) / (entropy + 0.01))
+
+
+def build(rows: list[tuple[int, int, Counter]], base: float) -> Index:
+    """rows: doc_id, label, counts of words."""
     rows = sorted(rows, key=lambda r: r[0])
+    plain, rows = [r[2] for r in rows], [(*r[:2], terms(r[2])) for r in rows]
+    n, number = len(rows), {}
+    for _, _, counts in rows:
+        for w in counts:
+            number.setdefault(w, len(number))
     y = np.array([r[1] for r in rows], float)
-    n, ones = len(rows), y.sum()
-    if n:
-        every, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-        doc = np.repeat(np.arange(n), [len(r[2]) for r in rows])
-        df, pos = np.bincount(at, minlength=len(every)).astype(float), np.bincount(at, weights=y[doc], minlength=len(every))
-        expected = df * ones / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * (np.where(pos > 0, pos * np.log(pos / expected), 0) + np.where(df > pos, (df - pos) * np.log((df - pos) / (df - expected)), 0))
-        ratio[(pos <= expected) | (df < LEAST_DOCS) | ~np.isfinite(ratio) | (ratio < LEAST_RATIO)] = 0
-        best = np.lexsort((every, -ratio))[:TERMS]
-        best = best[ratio[best] > 0]
-        idf = np.log((1 + n) / (1 + df[best])) + 1e-3
-        number = {int(every[j]): i for i, j in enumerate(best)}
-    else:
-        idf, number = np.empty(0), {}
-    index = Index(number, idf, np.array([r[0] for r in rows], np.int64), y, *[np.empty(0)] * 4, base)
-    vectors = [index.vector({number[int(h)]: int(c) for h, c in zip(r[2], r[3], strict=True) if int(h) in number}) for r in rows]
-    # examples with the same strongest term come to lie in the same blocks, so that bounds are tight
-    order = sorted(range(n), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else len(number), i))
-    index.ids, index.labels = index.ids[order], y[order]
-    vectors = [vectors[i] for i in order]
-    blocks = -(-n // BLOCK) if n else 0
-    t = np.concatenate([v[0] for v in vectors]).astype(np.int64) if n else np.empty(0, np.int64)
-    w = np.concatenate([v[1] for v in vectors]) if n else np.empty(0)
-    e = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+    length = [len(r[2]) for r in rows]
+    t = np.fromiter((number[w] for r in rows for w in r[2]), np.int64, sum(length))
+    tf = np.fromiter((c for r in rows for c in r[2].values()), float, sum(length))
+    doc = np.repeat(np.arange(n), length)
+    df = np.bincount(t, minlength=len(number)).astype(float)
+    ones = np.bincount(t, weights=y[doc], minlength=len(number))
+    factor = (np.log((1 + n) / (1 + df)) + 1e-3) * relevance(df, ones, n, y.sum())
+    w = (1 + np.log(tf)) * factor[t]
+    w /= np.maximum(np.sqrt(np.bincount(doc, weights=w * w, minlength=n)), 1e-12)[doc]
+    # examples with the same commonest word (which tells the language) and the same strongest term come to lie in the
+    # same blocks, so that bounds are tight
+    order = np.lexsort((np.arange(n), first_of(doc, t, w, n), first_of(doc, t, tf, n)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    e = place[doc]
     by = np.lexsort((e, t))
     t, w, e = t[by], w[by], e[by]
-    cell = t * max(blocks, 1) + e // BLOCK
-    flat = np.searchsorted(cell, np.arange(len(number) * blocks + 1))
-    index.start = np.array([flat[i * blocks : (i + 1) * blocks + 1] for i in range(len(number))], np.int64).reshape(len(number), blocks + 1)
-    index.example, index.weight = e, w
-    index.most = np.zeros((len(number), blocks))
-    np.maximum.at(index.most, (t, e // BLOCK), w)
+    begin = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)])) if len(t) else np.empty(0, np.int64)
+    most = np.maximum.reduceat(w, begin) if len(begin) else np.empty(0)
+    index = Index(
+        number, factor, np.array([r[0] for r in rows], np.int64)[order], y[order], np.searchsorted(t[begin], np.arange(len(number) + 1)),
+        e[begin] // BLOCK, most, np.append(begin, len(t)), e, w, base,
+    )
     if n:
-        weight = np.where(index.labels == 1, base / max(ones / n, 1e-9), (1 - base) / max(1 - ones / n, 1e-9))
-        votes, alone = [], []
-        for i, v in enumerate(vectors):
-            near, s = index.nearest(*v, but=i)
-            (votes if len(near) else alone).append((i, index.vote(near, s), s[0] if len(s) else 0.0))
-        if votes:
-            i = [v[0] for v in votes]
-            index.logit = fit_logit(np.array([v[1:] for v in votes]), index.labels[i], weight[i])
-        i = [v[0] for v in alone]
-        index.alone = float((weight[i] @ index.labels[i] + base) / (weight[i].sum() + 1)) if alone else base
+        calibrate(index, [plain[i] for i in order])
+        index.numbers.clear()
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
-    """The index of a bounded sample. Terms are made by the executors; hashes and counts come here."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [terms(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<i4").tobytes() for m in made], pa.binary())], names=["doc_id", "label", "terms", "counts"])
+def calibrate(index: Index, counts: list[Counter]) -> None:
+    """The logistic curve over votes, from leave-one-out votes of at most CALIBRATION evenly spaced examples."""
+    n, share = len(index.labels), index.labels.mean()
+    weight = np.where(index.labels == 1, index.base / max(share, 1e-9), (1 - index.base) / max(1 - share, 1e-9))
+    votes, alone = [], []
+    for i in np.unique(np.linspace(0, n - 1, min(n, CALIBRATION)).astype(int)).tolist():
+        t, q = index.vector(counts[i])
+        near, s = index.nearest(t, q, but=i) if len(t) else (np.empty(0, np.int64), None)
+        votes.append((i, index.vote(near, s), s[0])) if len(near) else alone.append(i)
+    if votes:
+        i = [v[0] for v in votes]
+        index.logit = fit_logit(np.array([v[1:] for v in votes]), index.labels[i], weight[i])
+    index.alone = float((weight[alone] @ index.labels[alone] + index.base) / (weight[alone].sum() + 1)) if alone else index.base
 
-    rows = by_text(sample(docs, labels, label, MODULUS, HELD_OUT, EXAMPLES), run, "doc_id long, label int, terms binary, counts binary").collect()
-    return build([(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], "<i4")) for r in rows], base_rate(labels, label, MODULUS, HELD_OUT))
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
+    """The index of a bounded sample."""
+    rows = sample(docs, labels, label, MODULUS, HELD_OUT, EXAMPLES, SAMPLE_BYTES)
+    return build([(i, y, words(text)) for i, y, text in rows], base_rate(labels, label, MODULUS, HELD_OUT))
 
 
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
-    model = shared(docs.sparkSession, index)  # its size is bound by EXAMPLES and TERMS
+    model = shared(docs.sparkSession, index)  # its size is bound by EXAMPLES and SAMPLE_BYTES
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = model()
-        of, known = known_terms(set(x.vocabulary)), {}
-        number = x.vocabulary
         scores, evidence = [], []
         for text in batch.column("text").to_pylist():
-            words: dict[str, int] = {}
-            for w in _WORD.findall((text or "").lower()):
-                words[w] = words.get(w, 0) + 1
-            counts: dict[int, int] = {}
-            for w, n in words.items():
-                ks = known.get(w)
-                if ks is None:
-                    ks = known[w] = of(w)
-                for k in ks:
-                    counts[number[k]] = counts.get(number[k], 0) + n
-            p, e, _ = x.score(*x.vector(counts)) if counts else (x.alone, np.empty(0, np.int64), None)
+            p, e = x.score(*x.vector(words(text)))
             scores.append(p)
             evidence.append(x.ids[e[:3]].tolist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])

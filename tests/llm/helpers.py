@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that operators use inside.
-CLASHING = ["tag", "fp", "bucket", "digest", "depth", "grp", "bits", "label", "score", "wanted", "n", "size", "row", "__m"]
+CLASHING = ["tag", "fp", "bucket", "digest", "depth", "grp", "bits", "label", "score", "wanted", "n", "size", "row", "__m", "__id", "__digest", "__doc_id", "__tag", "id", "times", "copy", "part", "ranges"]
 
 
 def texts(n=60, seed=3):
@@ -43,6 +43,10 @@ def documents(spark, data, extra=False):
     return df
 
 
+#: Columns of documents(..., extra=True).
+WIDTH = 5 + len(CLASHING)
+
+
 def key(x):
     return tuple((v is not None, v) if not isinstance(v, (list, dict)) else (True, repr(v)) for v in x)
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from millrace.llm import components, exact_dedup, simhash, suffix_dedup
-from tests.llm.helpers import documents, rows, same
+from tests.llm.helpers import WIDTH, documents, rows, same
 
 LAST = 2**63 - 1
 
@@ -32,7 +32,7 @@ def test_exact_dedup(spark):
         want.append((d[0], None if min(g) == LAST else min(g), len(g), stays, hashlib.sha256(normal(d[1]).encode()).hexdigest()))
     same([tuple(r) for r in got], want)
     kept = exact_dedup.deduplicate(documents(spark, data, extra=True))
-    assert len(kept.columns) == 5 + 14 and sorted(normal(r.text) for r in kept.collect()) == sorted(groups)
+    assert len(kept.columns) == WIDTH and sorted(normal(r.text) for r in kept.collect()) == sorted(groups)
     assert exact_dedup.decide(documents(spark, [])).count() == 0 and exact_dedup.deduplicate(documents(spark, [])).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_near_dedup(spark):
     want = [(d[0], f"{p:016x}", None if least[root[p]] == LAST else least[root[p]]) for d, p in zip(data, prints, strict=True)]
     same([tuple(r) for r in simhash.near_dedup(documents(spark, data, extra=True)).collect()], want)
     kept = simhash.keep_first(documents(spark, data, extra=True), size=4)
-    assert kept.count() == len(least) and len(kept.columns) == 5 + 14
+    assert kept.count() == len(least) and len(kept.columns) == WIDTH
     assert simhash.near_dedup(documents(spark, [])).count() == 0 and simhash.keep_first(documents(spark, [])).count() == 0
 
 
@@ -154,7 +154,7 @@ def test_suffix_dedup(spark):
     want = brute_suffixes(data)
     same([tuple(x) for x in suffix_dedup.summaries(documents(spark, data, extra=True)).collect()], want)
     out = suffix_dedup.remove(documents(spark, data, extra=True))
-    assert len(out.columns) == 5 + 14
+    assert len(out.columns) == WIDTH
     kept = {x.doc_id: x for x in out.collect()}
     assert len(kept) == len({d[0] for d in data}) and kept[6003].text == "é" * 51 + "ü" * 99 or len(kept[6003].text) < 150
     assert all(x.n_chars == len(x.text) for x in kept.values() if x.text is not None and x.doc_id < 1000)

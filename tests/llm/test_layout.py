@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import packing, sharding
-from tests.llm.helpers import documents, rows
+from tests.llm.helpers import documents, rows, same
 
 
 def brute(sizes, conflicts, capacity):
@@ -68,11 +68,34 @@ def test_sharding(spark):
     assert sharding.shard(documents(spark, [])).count() == 0
 
 
-def test_many_rows_with_one_id(spark):
-    data = [(7, "x" * 90, "en", "s", 90)] * 200
-    got = sharding.directory(sharding.shard(documents(spark, data), limit=1000)).collect()
-    assert sum(r.n_docs for r in got) == 200 and len(got) >= 18
-    assert sum(r.n_bytes for r in got) == 18000
+@pytest.mark.parametrize("limit", [1000, 777, 100])
+def test_pages_keep_the_limit(spark, limit):
+    """Rows that no bit can split: one id, null ids, sizes up to the limit and above it."""
+    r = random.Random(limit)
+    data = [(k, "x" * r.choice([0, 1, 90, 333, 500, 501, 999, 1000, 1001, 2500]), "en", "s", 0) for k in (7, None, 8) for _ in range(80)]
+    got = sharding.shard(documents(spark, data), limit=limit)
+    same([(x.doc_id, x.n_bytes) for x in got.collect()], [(d[0], len(d[1])) for d in data])
+    shards = sharding.directory(got).collect()
+    assert sum(x.n_docs for x in shards) == len(data) and all(x.n_bytes <= limit or x.n_docs == 1 for x in shards)
+    by_name = defaultdict(list)
+    for x in shards:
+        by_name[x.shard].append(x)
+    for pages in by_name.values():
+        assert len(pages) <= 4 * sum(x.n_bytes for x in pages) / limit + 2  # and they are filled
+
+
+def test_directory(spark):
+    """Each of the directory's 2 ** global_depth entries points to one shard."""
+    shards = sharding.directory(sharding.shard(documents(spark, [(i, "x" * 50, "en", "s", 50) for i in range(300)]), limit=600)).collect()
+    assert {x.global_depth for x in shards} == {max(x.local_depth for x in shards)}
+    assert sum(x.n_entries for x in shards) == 2 ** shards[0].global_depth and len(shards) > 20
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    data = rows(120)
+    df = packing.items(documents(spark, data))
+    a, b = (sorted(map(tuple, packing.pack(df.repartition(n), 200, 40).collect()), key=repr) for n in (2, 7))
+    assert a == b
 
 
 def test_pipeline(spark, tmp_path):

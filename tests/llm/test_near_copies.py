@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import near_copies
-from tests.llm.helpers import documents, rows
+from tests.llm.helpers import WIDTH, documents, rows
 
 LAST = 2**63 - 1
 
@@ -62,7 +62,7 @@ def test_all_pairs_of_similarity_from_08(spark, monkeypatch, large):
     monkeypatch.setattr(near_copies, "LARGE", large)
     data = planted() + [(1000 + (d[0] or 0), *d[1:]) for d in rows(40) if d[0] is not None]
     out = corpus_pipeline.simhash_stage(spark, documents(spark, data, extra=True), "")
-    assert ids(out) == brute(data) and len(out.columns) == 5 + 14
+    assert ids(out) == brute(data) and len(out.columns) == WIDTH
     sims = [similarity(shingle_set(data[b * 13][1]), shingle_set(data[b * 13 + k][1])) for b in range(12) for k in range(1, 13)]
     assert sum(0.8 <= x < 0.85 for x in sims) > 3 and sum(0.85 <= x < 0.95 for x in sims) > 10 and sum(x < 0.8 for x in sims) > 20
 

@@ -65,20 +65,56 @@ def test_quality_of_nothing(spark):
 ODD = ["a", "B", "é", "é", " ", "\n", " ", " ", "'s", "12", "日", "🙂", "<|endoftext|>", "ß", "İ", "Σ", "!", "\x85", "\x1c"]
 
 
-def test_bpe_equals_the_library(spark):
+def tokenizer_file(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_equals_the_library(spark, name):
     from tokenizers import Tokenizer
 
-    lib, r = Tokenizer.from_file(bpe.tokenizer_path()), random.Random(5)
+    lib, r = Tokenizer.from_file(tokenizer_file(name)), random.Random(5)
+    assert bpe.Encoder(tokenizer_file(name)).composable
     data = rows() + [(3000 + i, "".join(r.choice(ODD) for _ in range(r.randint(1, 900))), None, None, None) for i in range(60)] + [(4000, "x" * 20000, None, None, None)]
     want = []
     for d in data:
         ids = lib.encode(d[1] or "", add_special_tokens=False).ids
         want.append((d[0], len(ids), np.array(ids, "<u4").tobytes(), lib.decode(ids, skip_special_tokens=False)))
-    got = bpe.encode(documents(spark, data, extra=True)).collect()
+    got = bpe.encode(documents(spark, data, extra=True), tokenizer_file(name)).collect()
     same([(x.doc_id, x.n_tokens, bytes(x.ids), x.decoded) for x in got], want)
     assert bpe.encode(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("cut", [4, 6])
+def test_joins_of_small_chunks(monkeypatch, name, cut):
+    """Chunks of some 16 or 64 bytes, met again in other surroundings; special tokens; long stretches without a boundary."""
+    monkeypatch.setattr(bpe, "CUT", cut)
+    e, r = bpe.Encoder(tokenizer_file(name)), random.Random(cut)
+    passages = ["".join(r.choice(ODD) for _ in range(r.randint(20, 200))) for _ in range(12)] + texts(20) + ["x" * 3000, " " * 700, "<|endoftext|>" * 30]
+    for _ in range(150):
+        t = "".join(r.choice(passages)[r.randint(0, 9) :] for _ in range(r.randint(1, 6)))
+        ids = e.encode(t.encode())
+        want = e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert e.decode([ids]) == [e.tokenizer.decode(want, skip_special_tokens=False)]
+    assert len(e.chunks) > 100 and sum(x is not None for x in e.joins.values()) > 20
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    with open(tokenizer_file("byte_bpe_50k.json")) as f:
+        config = json.load(f)
+    config["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(config))
+    e = bpe.Encoder(str(tmp_path / "t.json"))
+    text = " ".join(texts(20))
+    assert not e.composable and np.frombuffer(e.encode(text.encode()), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_are_shared():
     """A passage has the same chunks behind different beginnings."""
     passage = " ".join(texts(30)).encode()
