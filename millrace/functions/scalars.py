@@ -5,6 +5,9 @@ All stay JVM-side: comparisons, arithmetic and CASE inside code generation; no P
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +21,10 @@ SPARK_TYPES = {"BOOLEAN": "boolean", "INTEGER": "bigint", "FLOAT": "double", "ST
 class Typed:
     """A column, its dialect type (None: NULL) and, if it is one, the constant."""
 
-    def __init__(self, column: Column, kind: str | None, constant: bool = False, value=None):
+    def __init__(self, column: Column, kind: str | None, constant: bool = False, value=None, instant: tuple[Column, str] | None = None):
         self.column, self.kind, self.constant, self.value = column, kind, constant, value
+        #: The timestamp whose text the column is, and its Spark type.
+        self.instant = instant
 
     def __str__(self) -> str:
         return show(self.value) if self.constant else str(self.kind)
@@ -45,12 +50,29 @@ def float_modulo(a: Column, b: Column) -> Column:
 
 
 def whole_power(a: Column, n: int) -> Column:
-    """a to a constant whole power, with overflow errors; doubled exponents keep the tree small."""
+    """a to a constant whole power, with overflow errors, as a product of columns."""
     if n == 0:
         return F.when(a.isNull(), F.lit(None).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
     if n > 64:  # only -1, 0 and 1 have such powers
         return F.when(a.between(-1, 1), whole_power(a, 2 + n % 2)).when(a.isNotNull(), F.raise_error(F.lit("Integer overflow")).cast("bigint"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(1).cast("bigint"), lambda acc, _: acc * a)
+    out = a
+    for _ in range(n - 1):
+        out = out * a
+    return out
+
+
+def column_power(a: Column, b: Column) -> Column:
+    """a to the power of another column, both INTEGER: squares (null beyond the range) where b has bits. A negative power
+    of -1 or 1 is whole; others are an error, as a column has one type."""
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("bigint")
+    odd = F.pmod(b, F.lit(2)) == 1
+    unit = F.when(a == 1, F.lit(1)).when(a == -1, F.when(odd, F.lit(-1)).otherwise(F.lit(1))).when(b == 0, F.lit(1)).when(b > 0, F.lit(0)).otherwise(wrong("Integer power with negative exponent"))
+    out, square = F.lit(1).cast("bigint"), a
+    for k in range(6):
+        out = F.when(F.shiftright(b, k).bitwiseAND(1) == 1, F.try_multiply(out, square)).otherwise(out)
+        square = F.try_multiply(square, square)
+    whole = F.when(b < 0, wrong("Integer power with negative exponent")).when(b > 63, F.lit(None).cast("bigint")).otherwise(out)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("bigint")).when(a.between(-1, 1), unit.cast("bigint")).otherwise(F.coalesce(whole, wrong("Integer overflow")))
 
 
 def factorial(x: Column) -> Column:
@@ -67,8 +89,33 @@ def like(text: Column, pattern: Typed) -> Column:
     return F.rlike(text, F.concat(F.lit("(?d)^(?:"), p, F.lit(")\\z")))
 
 
+_INSTANT = re.compile(r"\d{4}-\d\d-\d\d( \d\d:\d\d:\d\d(\.\d{0,5}[1-9])?)?")
+
+
+def compare_instants(op: str, a: Typed, text: str) -> Column | None:
+    """A timestamp's text with a constant, as a comparison of timestamps, which scans can use; None where the constant
+    doesn't look like such a text. A date is a text before its midnight's and after all earlier ones."""
+    column, kind = a.instant
+    if not _INSTANT.fullmatch(text):
+        return None
+    try:
+        datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    value = F.lit(text if kind == "timestamp_ntz" else f"{text if len(text) > 10 else text + ' 00:00:00'}Z").cast(kind)
+    if len(text) == 10:
+        return {"<": column < value, "<=": column < value, ">": column >= value, ">=": column >= value}.get(op)
+    return {"=": column == value, "!=": column != value, "<": column < value, "<=": column <= value, ">": column > value, ">=": column >= value}[op]
+
+
 def compare(op: str, a: Typed, b: Typed) -> Column:
     """Equal for NaN only to what IEEE says. Conjunctions keep scans' and joins' own filters usable."""
+    if b.instant and a.constant:
+        a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+    if a.instant and b.constant and isinstance(b.value, str):
+        found = compare_instants(op, a, b.value)
+        if found is not None:
+            return found
     if {a.kind, b.kind} <= {"INTEGER"} or "FLOAT" not in (a.kind, b.kind):
         x, y = a.column, b.column
         return {"=": x == y, ">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y, "!=": x != y}[op]
@@ -122,6 +169,8 @@ def operate(op: str, args: list[Typed]) -> Typed:
     if op == "^":
         if kinds == {"INTEGER"} and b.constant and b.value >= 0:
             return Typed(whole_power(a.column, min(b.value, MOST)), "INTEGER")
+        if kinds == {"INTEGER"} and not b.constant:
+            return Typed(column_power(a.column, b.column), "INTEGER")
         return Typed(F.pow(a.cast("FLOAT"), b.cast("FLOAT")), "FLOAT")
     if kinds == {"INTEGER"}:
         x, y = a.column, b.column

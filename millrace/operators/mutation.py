@@ -19,7 +19,8 @@ from millrace.plans.constants import fold, show, type_of
 from millrace.plans.syntax import Delete, Insert, Update
 from millrace.sources.catalog import MOST_BYTES, SPARK, ColumnDef, TableDef
 
-#: Keys that a statement reports to the transaction; beyond, it claims the whole table.
+#: Keys that a statement reports to the transaction, unless the engine says otherwise (Engine.most_keys); beyond, it
+#: claims the whole table.
 TOUCHED = 100_000
 
 
@@ -36,9 +37,9 @@ def key(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else v
 
 
-def touched_keys(df: DataFrame, name: str) -> set | None:
-    found = df.select(name).limit(TOUCHED + 1).collect()
-    return None if len(found) > TOUCHED else {key(r[0]) for r in found}
+def touched_keys(df: DataFrame, name: str, most: int) -> set | None:
+    found = df.select(name).limit(most + 1).collect()
+    return None if len(found) > most else {key(r[0]) for r in found}
 
 
 def present(df: DataFrame, column: ColumnDef, values: list) -> set:
@@ -138,7 +139,7 @@ def load(txn, table: TableDef, df: DataFrame) -> int:
             missing = some(given.join(keys, c(x.name) == F.col("__key"), "left_anti"), c(x.name))
             if missing:
                 raise ValueError_(f"Referenced primary key {show(missing[0])} in table {x.references} does not exist")
-    txn.append(table, path, touched_keys(rows, primary.name))
+    txn.append(table, path, touched_keys(rows, primary.name, txn.engine.most_keys))
     return n
 
 
@@ -170,28 +171,25 @@ def update(txn, s: Update) -> int:
         new[name] = t.column.cast(SPARK_TYPES[x.kind])
     made = [F.when(match, new[x.name]).otherwise(c(x.name)).alias(x.name) if x.name in new else c(x.name) for x in table.columns]
     old = [c(n).alias(f"__old_{n}") for n in dict.fromkeys([primary, *s.assign])]
-    # one write, of the parts with such rows: checks read it, and it becomes part of the new version (readers ask for
-    # the table's columns only)
-    parts, others = txn.parts(table, match)
-    path = txn.stage(txn.read_parts(table, parts).select(*made, *old, match.alias("__m")), table)
-    staged = txn.staged(path)
-    every = staged.unionByName(txn.read_parts(table, others).select("*", *old, F.lit(False).alias("__m"))) if others else staged
-    hit, was = staged.filter("__m"), f"__old_{primary}"
     tests = [F.count("*").alias("n")]
     for name in new:
         x = table.column(name)
         if not x.nullable:
-            tests.append(F.sum(c(name).isNull().cast("long")).alias(f"null {name}"))
+            tests.append(F.sum(new[name].isNull().cast("long")).alias(f"null {name}"))
         if x.kind == "STRING":
-            tests.append(F.sum((F.octet_length(c(name)) > MOST_BYTES).cast("long")).alias(f"long {name}"))
-    counted = hit.agg(*tests).first().asDict()
+            tests.append(F.sum((F.octet_length(new[name]) > MOST_BYTES).cast("long")).alias(f"long {name}"))
+    counted = txn.read(table).filter(match).agg(*tests).first().asDict()
     n = counted.pop("n")
     if not n:
-        txn.discard(path)
         return 0
     for test, bad in counted.items():
         if bad:
             raise ValueError_(f"NULL value not allowed for column {test[5:]}" if test.startswith("null ") else "Strings cannot be more than 1024 bytes")
+    # the checks read the old parts with the new values beside the old; only the table's columns are written, at the end
+    parts, others = txn.parts(table, match)
+    staged = txn.read_parts(table, parts).select(*made, *old, match.alias("__m"))
+    every = staged.unionByName(txn.read_parts(table, others).select("*", *old, F.lit(False).alias("__m"))) if others else staged
+    hit, was = staged.filter("__m"), f"__old_{primary}"
     moved = hit.filter(c(primary) != c(was))
     i, j = staged.alias("i"), every.alias("j")
     at = lambda side, name: F.col(f"{side}.`{name}`")
@@ -234,9 +232,10 @@ def update(txn, s: Update) -> int:
             found = some(before.unionByName(after).orderBy(c(was)), c(x.name))
             if found:
                 raise ValueError_(f"Unique value {show(found[0])} already exists for column {x.name}")
-    keys = touched_keys(hit, was)
+    path = txn.stage(staged.select(*[c(x.name) for x in table.columns]), table)
+    keys = touched_keys(hit, was, txn.engine.most_keys)
     if keys is not None and primary in new:
-        more = touched_keys(hit, primary)
+        more = touched_keys(hit, primary, txn.engine.most_keys)
         keys = None if more is None else keys | more
     txn.publish(table, path, others, keys)
     return n
@@ -266,7 +265,7 @@ def delete(txn, s: Delete) -> int:
         if found:
             raise ValueError_(refused(found[0], table.name, x.name, other.name))
     parts, others = txn.parts(table, match)
-    txn.publish(table, txn.stage(txn.read_parts(table, parts).filter(~match), table), others, touched_keys(doomed, primary))
+    txn.publish(table, txn.stage(txn.read_parts(table, parts).filter(~match), table), others, touched_keys(doomed, primary, txn.engine.most_keys))
     return n
 
 

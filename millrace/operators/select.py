@@ -17,6 +17,7 @@ from millrace.functions.scalars import SPARK_TYPES, Typed, build, condition
 from millrace.plans.constants import fold, show
 from millrace.plans.explain import Node, show_expression
 from millrace.plans.syntax import Call, Field, Hole, Join, Op, Select, Table, walk
+from millrace.sources.external import INSTANT
 
 INT_MAX = 2**31 - 1
 
@@ -27,6 +28,8 @@ class Scope:
 
     columns: list[tuple[str, str, str, str]] = field(default_factory=list)
     constant: bool = False
+    #: Internal names of texts of timestamps -> Spark type of these; they are under the name with "t" behind it.
+    instants: dict[str, str] = field(default_factory=dict)
 
     def tables(self) -> set[str]:
         return {c[0] for c in self.columns}
@@ -48,12 +51,12 @@ class Scope:
 
     def resolve(self, f: Field) -> Typed:
         c = self.find(f)
-        return Typed(F.col(c[3]), c[2])
+        return Typed(F.col(c[3]), c[2], instant=(F.col(c[3] + "t"), self.instants[c[3]]) if c[3] in self.instants else None)
 
     def with_(self, other: Scope) -> Scope:
         for t in sorted(other.tables() & self.tables()):
             raise ValueError_(f"Duplicate table name {t}")
-        return Scope(self.columns + other.columns)
+        return Scope(self.columns + other.columns, instants=self.instants | other.instants)
 
 
 @dataclass
@@ -100,14 +103,17 @@ class Planner:
 
     def scan(self, t: Table) -> tuple[DataFrame, Scope, Node]:
         df, columns, primary, indexed = self.tables(t.name)
-        label, scope, out = t.alias or t.name, [], []
+        label, scope, out, instants, types = t.alias or t.name, [], [], {}, dict(df.dtypes)
         for name, kind in columns:
             internal = f"c{self.next}"
             self.next += 1
             scope.append((label, name, kind, internal))
             out.append(F.col("`" + name.replace("`", "``") + "`").alias(internal))
+            if INSTANT + name in types:
+                out.append(F.col("`" + (INSTANT + name).replace("`", "``") + "`").alias(internal + "t"))
+                instants[internal] = types[INSTANT + name]
         node = Node("Scan", f"{t.name} as {t.alias}" if t.alias else t.name, [], {"table": t.name, "primary": primary, "indexed": indexed})
-        return df.select(*out), Scope(scope), node
+        return df.select(*out), Scope(scope, instants=instants), node
 
     def source(self, s) -> tuple[DataFrame, Scope, Node]:
         if isinstance(s, Table):
@@ -230,6 +236,8 @@ class Planner:
             t = build(e, scope.resolve)
             keys.append((canonical(e), Hole(f"g{i}", t.kind)))
             keyed.append(t.column.cast(SPARK_TYPES[t.kind or "BOOLEAN"]).alias(f"g{i}"))
+            if t.instant:  # the same groups; on streams this is what the watermark is about
+                keyed.append(t.instant[0].alias(f"g{i}t"))
         found: dict = {}
         columns: list = []
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import EngineError
 from millrace.results import Query
 from millrace.session import Engine
 from millrace.sources import external
@@ -25,6 +26,17 @@ def engine(spark: SparkSession, sf_dir: str | None = None) -> Engine:
     return Engine(spark, root, external.folder(spark, sf_dir) if sf_dir else None)
 
 
+#: Engines that only read, by application and folder: they needn't look at files' schemas again.
+_READERS: dict[tuple[str, str], Engine] = {}
+
+
+def reader(spark: SparkSession, sf_dir: str) -> Engine:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _READERS:
+        _READERS[key] = engine(spark, sf_dir)
+    return _READERS[key]
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(n, DIGITS).alias(n) if t == "double" and n in ROUNDED else F.col(n) for n, t in df.dtypes])
 
@@ -33,7 +45,8 @@ def ask(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     """Runs statements of the dialect; the last one's rows are the result."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session = engine(spark, sf_dir).session()
+        reads = all(s.startswith("SELECT") for s in statements)
+        session = (reader if reads else engine)(spark, sf_dir).session()
         for s in statements:
             result = session.execute(s)
         assert isinstance(result, Query)
@@ -50,7 +63,9 @@ READS: dict[str, tuple[str, str]] = {
     "project_expr": ("SELECT l_orderkey, l_linenumber * 2 + 1 AS n, l_extendedprice * (1 - l_discount) AS net FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 2 + 1 AS n, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
     "alias_labels": ("SELECT n_name AS country, n.n_regionkey region FROM nation AS n", "SELECT n_name AS country, CAST(n_regionkey AS BIGINT) AS region FROM nation"),
     "quoted_identifiers": ('SELECT doc_id, "text" FROM documents WHERE lang = \'de\'', "SELECT doc_id, \"text\" FROM documents WHERE lang = 'de'"),
-    "timestamp_as_text": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < '1995-01-01'", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') < '1995-01-01'"),
+    "timestamp_as_text": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < '1996-01-01'", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders WHERE CAST(o_orderdate AS VARCHAR) < '1996-01-01'"),
+    "timestamp_fractions": ("SELECT event_id, ts FROM events WHERE ts >= '2024-01-10 12:30:00.5' AND ts < '2024-01-12'", "SELECT event_id, CAST(ts AS VARCHAR) AS ts FROM events WHERE CAST(ts AS VARCHAR) >= '2024-01-10 12:30:00.5' AND CAST(ts AS VARCHAR) < '2024-01-12'"),
+    "timestamp_group": ("SELECT ts, COUNT(*) AS n, MAX(event_id) AS last FROM events GROUP BY ts", "SELECT CAST(ts AS VARCHAR) AS ts, count(*) AS n, max(event_id) AS last FROM events GROUP BY CAST(ts AS VARCHAR)"),
     "fromless_const": ("SELECT 1 + 2 * 3 AS a, 'x' AS b, TRUE AND NULL AS c, 7 / 2 AS d, 1.0 / 3 AS third", "SELECT CAST(7 AS BIGINT) AS a, 'x' AS b, CAST(NULL AS BOOLEAN) AS c, CAST(3 AS BIGINT) AS d, CAST(0.33 AS DOUBLE) AS third"),
     # Filters
     "filter_eq": ("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"),
@@ -172,6 +187,44 @@ def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("value", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
+def answers(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Runs statements of the dialect one by one; a row for each: its number and what came of it, errors included."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session, rows = engine(spark, sf_dir).session(), []
+        for i, s in enumerate(statements):
+            try:
+                result = session.execute(s)
+                rows.append((i, f"{result.kind} {result.count}"))
+            except EngineError as e:
+                rows.append((i, str(e)))
+        return spark.createDataFrame(rows, "step long, answer string")
+
+    return run
+
+
+def said(*answers: str) -> str:
+    return "SELECT CAST(step AS BIGINT) AS step, answer FROM (VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(answers)) + ") x(step, answer)"
+
+
+def conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transactions write one row: the first one wins, the other gets an error; another row is no conflict."""
+    e = engine(spark, sf_dir)
+    s, a, b = e.session(), e.session(), e.session()
+    for q in (SMALL, FILL):
+        s.execute(q)
+    rows = []
+    steps = ((a, "BEGIN"), (b, "BEGIN"), (a, "UPDATE t SET v = 0.0 WHERE id = 1"), (b, "UPDATE t SET v = 1.0 WHERE id = 1"), (b, "UPDATE t SET v = 2.0 WHERE id = 2"), (a, "COMMIT"), (b, "DELETE FROM t WHERE id = 1"), (b, "COMMIT"))
+    for i, (x, q) in enumerate(steps):
+        try:
+            result = x.execute(q)
+            rows.append((i, f"{result.kind} {result.count}"))
+        except EngineError as error:
+            rows.append((i, str(error)))
+    rows += [(100 + r[0], str(r[1])) for r in s.execute("SELECT id, v FROM t").rows()]
+    return spark.createDataFrame(rows, "step long, answer string")
+
+
 BASE = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM customer"
 ALL = "SELECT * FROM c"
 SMALL = "CREATE TABLE t (id INTEGER PRIMARY KEY, name STRING DEFAULT 'none', v FLOAT DEFAULT 1.5, flag BOOLEAN)"
@@ -185,6 +238,14 @@ WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "update_pk": (stored("UPDATE c SET c_custkey = -c_custkey - 1 WHERE c_nationkey = 3", ALL), "SELECT CASE WHEN c_nationkey = 3 THEN -c_custkey - 1 ELSE c_custkey END AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM customer"),
     "delete_where": (stored("DELETE FROM c WHERE c_acctbal < 0", ALL), BASE + " WHERE NOT (c_acctbal < 0)"),
     "delete_all": (stored("DELETE FROM c", "SELECT COUNT(*) AS n FROM c"), "SELECT CAST(0 AS BIGINT) AS n"),
+    "index_lookup_managed": (stored("SELECT c_custkey, c_name FROM c WHERE c_nationkey = 3 OR c_nationkey = 7"), "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (3, 7)"),
+    "index_after_write": (stored("UPDATE c SET c_nationkey = 3 WHERE c_nationkey = 7", "DELETE FROM c WHERE c_custkey < 20", "SELECT c_custkey FROM c WHERE c_nationkey = 3"), "SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7) AND c_custkey >= 20"),
+    "power_of_columns": (ask("SELECT n_nationkey, n_regionkey ^ n_nationkey AS p, (0 - n_regionkey) ^ n_regionkey AS q, (n_regionkey - 1) ^ (n_nationkey * 1000) AS r FROM nation WHERE n_regionkey < 3"), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey ** n_nationkey AS BIGINT) AS p, CAST((-n_regionkey) ** n_regionkey AS BIGINT) AS q, CAST((n_regionkey - 1) ** (n_nationkey * 1000) AS BIGINT) AS r FROM nation WHERE n_regionkey < 3"),
+    "not_null": (answers("CREATE TABLE t (id INTEGER PRIMARY KEY, s STRING NOT NULL)", "INSERT INTO t VALUES (1, NULL)", "INSERT INTO t VALUES (1, 'a')", "UPDATE t SET s = NULL", "INSERT INTO t (id) VALUES (2)"), said("create_table 0", "NULL value not allowed for column s", "create 1", "NULL value not allowed for column s", "Column s not given and has no default value")),
+    "unique": (answers("CREATE TABLE t (id INTEGER PRIMARY KEY, u INTEGER UNIQUE)", "INSERT INTO t VALUES (1, 5), (2, NULL), (3, NULL)", "INSERT INTO t VALUES (4, 5)", "UPDATE t SET u = 5 WHERE id = 2", "UPDATE t SET u = 6 WHERE id = 1", "INSERT INTO t VALUES (4, 5)", "INSERT INTO t VALUES (1, 9)"), said("create_table 0", "create 3", "Unique value 5 already exists for column u", "Unique value 5 already exists for column u", "update 1", "create 1", "Primary key 1 already exists for table t")),
+    "foreign_key": (answers("CREATE TABLE a (id INTEGER PRIMARY KEY)", "CREATE TABLE b (id INTEGER PRIMARY KEY, a INTEGER REFERENCES a)", "INSERT INTO b VALUES (1, 7)", "INSERT INTO a VALUES (7), (8)", "INSERT INTO b VALUES (1, 7), (2, NULL)", "DELETE FROM a WHERE id = 7", "UPDATE b SET a = 9", "UPDATE a SET id = 9 WHERE id = 7", "DELETE FROM a WHERE id = 8", "UPDATE b SET a = NULL", "DELETE FROM a"), said("create_table 0", "create_table 0", "Referenced primary key 7 in table a does not exist", "create 2", "create 2", "Cannot delete row 7 from table a because it is referenced by column a in table b", "Referenced primary key 9 in table a does not exist", "Cannot delete row 7 from table a because it is referenced by column a in table b", "delete 1", "update 2", "delete 1")),
+    "drop_table": (answers("CREATE TABLE a (id INTEGER PRIMARY KEY)", "CREATE TABLE b (id INTEGER PRIMARY KEY, a INTEGER REFERENCES a)", "DROP TABLE a", "DROP TABLE b", "DROP TABLE a", "SELECT * FROM a", "DROP TABLE a"), said("create_table 0", "create_table 0", "Cannot delete table a because it is referenced by table b column a", "drop_table 0", "drop_table 0", "Table a does not exist", "Table a does not exist")),
+    "write_conflict": (conflict, "SELECT CAST(step AS BIGINT) AS step, answer FROM (VALUES (0, 'begin 0'), (1, 'begin 0'), (2, 'update 1'), (3, 'Serialization failure, retry transaction'), (4, 'update 1'), (5, 'commit 0'), (6, 'Serialization failure, retry transaction'), (7, 'commit 0'), (101, '0.0'), (102, '2.0'), (103, '4.5')) x(step, answer)"),
     "managed_lookup": (stored("SELECT c_name FROM c WHERE c_custkey = 5 OR c_custkey = 6"), "SELECT c_name FROM customer WHERE c_custkey IN (5, 6)"),
     "index_scan": (index_scan, "SELECT CAST(c_nationkey AS BIGINT) AS value, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys FROM customer GROUP BY c_nationkey"),
     "txn_commit": (stored("BEGIN", "DELETE FROM c WHERE c_custkey < 50", "UPDATE c SET c_nationkey = NULL WHERE c_custkey < 100", "COMMIT", ALL), "SELECT c_custkey, c_name, CAST(CASE WHEN c_custkey >= 100 THEN c_nationkey END AS BIGINT) AS c_nationkey, c_acctbal FROM customer WHERE c_custkey >= 50"),

@@ -50,6 +50,8 @@ def translated(e: Exception) -> Exception:
         return ValueError_("Can't divide by zero")
     if "Can't take factorial of negative number" in text:
         return ValueError_("Can't take factorial of negative number")
+    if "Integer power with negative exponent" in text:
+        return ValueError_("Integer power with negative exponent")
     if "ARITHMETIC_OVERFLOW" in text or "Integer overflow" in text:
         return ValueError_("Integer overflow")
     return e

@@ -1,16 +1,30 @@
 """Read-only tables over Parquet files that others wrote.
 
-Columns of the dialect's types stay as they are, narrower numbers widen, timestamps and dates show as ISO text; other
-types are left out. Only the columns of a query are read.
+Columns of the dialect's types stay as they are, narrower numbers widen, timestamps (to the microsecond, those that are
+instants in UTC) and dates show as ISO text; other types are left out. A timestamp itself goes along under a name of its
+own, so that comparisons with constants reach the scan and groups are those of instants. Only the columns of a query are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: In front of the name of a timestamp column.
+INSTANT = "__instant_"
+
+
+def text_of(c: Column, is_instant: bool) -> Column:
+    """yyyy-MM-dd HH:mm:ss and the fraction of a second without trailing zeros; texts order as their timestamps do. An
+    instant is told in UTC, whatever the session's time zone."""
+    if is_instant:
+        seconds = (F.unix_micros(c).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(18,6)")
+        c = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return c.cast("string")
+
+
 def typed(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The columns that the dialect knows, with their types."""
     columns, kinds = [], []
@@ -25,7 +39,8 @@ def typed(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
         elif isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType)):
             kind = "STRING"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            kind, c = "STRING", F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            columns.append(c.alias(INSTANT + f.name))
+            kind, c = "STRING", text_of(c, isinstance(f.dataType, T.TimestampType))
         elif isinstance(f.dataType, T.DateType):
             kind, c = "STRING", F.date_format(c, "yyyy-MM-dd")
         else:

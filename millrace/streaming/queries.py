@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.errors import ValueError_
 from millrace.operators.select import Planner
@@ -35,25 +34,28 @@ def select(spark: SparkSession, sql: str, tables: dict[str, DataFrame], event_ti
     return p.df.toDF(*p.labels)
 
 
-def append_to(txn_session, table: str):
+def append_to(session, table: str, name: str | None = None):
     """A foreachBatch function that loads each micro-batch into a table in one transaction.
 
-    The batch's number is kept with the engine, so a batch that is delivered again is left out.
+    The number of the last batch is committed with its rows, for each stream and table by itself, so a batch that is
+    delivered again is left out. A stream is known by `name` or, without one, by the id that its checkpoint keeps: with a
+    new checkpoint it is another stream.
     """
 
     def load(df: DataFrame, batch: int) -> None:
-        engine, mark = txn_session.engine, f"stream:{table}"
+        engine = session.engine
+        stream = name or df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise ValueError_("A batch outside a stream needs a name")
+        mark = f"stream:{table}:{stream}"
         if int(engine.get_metadata(mark) or -1) >= batch:
             return
-        txn_session.execute("BEGIN")
+        txn = engine.begin()
         try:
-            txn_session.txn.load(table, df.select(*[F.col(c) for c in df.columns]))
-            engine.metadata[mark] = str(batch)  # saved with the commit
-            txn_session.execute("COMMIT")
+            txn.load(table, df)
+            txn.commit({mark: str(batch)})
         except BaseException:
-            engine.metadata.pop(mark, None) if batch == 0 else engine.metadata.update({mark: str(batch - 1)})
-            if txn_session.txn:
-                txn_session.execute("ROLLBACK")
+            txn.rollback()
             raise
 
     return load

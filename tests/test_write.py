@@ -263,3 +263,58 @@ def test_reopened(spark, tmp_path):
     assert again.get_metadata("k") == "v" and again.status()["tables"] == ["t"] and again.next == s.engine.next + 1
     with pytest.raises(ValueError_):
         again.resume(99)
+
+
+def test_two_engines_on_one_root(spark, tmp_path):
+    """Both commits stay; writers of one row conflict; numbers and values go to whoever comes later."""
+    root = str(tmp_path / "db")
+    a, b = Engine(spark, root).session(), Engine(spark, root).session()
+    a.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")
+    a.execute("INSERT INTO t VALUES (1, 1)")
+    b.execute("INSERT INTO t VALUES (7, 7)")
+    assert ask(a, "SELECT id FROM t") == ask(b, "SELECT id FROM t") == [(1,), (7,)]
+    a.execute("BEGIN")
+    b.execute("BEGIN")
+    a.execute("INSERT INTO t VALUES (2, 2)")
+    b.execute("INSERT INTO t VALUES (3, 3)")
+    a.execute("COMMIT")
+    b.execute("COMMIT")
+    assert [r[0] for r in ask(a, "SELECT id FROM t")] == [1, 2, 3, 7]
+    for x in (a, b):
+        x.execute("BEGIN")
+    a.execute("UPDATE t SET v = 10 WHERE id = 1")
+    b.execute("UPDATE t SET v = 11 WHERE id = 1")
+    a.execute("COMMIT")
+    with pytest.raises(SerializationError):
+        b.execute("COMMIT")
+    b.execute("ROLLBACK")
+    assert ask(b, "SELECT v FROM t WHERE id = 1") == [(10,)]
+    a.engine.set_metadata("k", "v")
+    assert b.engine.get_metadata("k") == "v"
+
+
+def test_manifests_stay_small(session):
+    """Reading writes nothing, and old manifests go."""
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    before = session.engine.number
+    for _ in range(20):
+        session.execute("SELECT id FROM t")
+    assert session.engine.number == before and len(session.engine.snapshots) <= 2
+    for i in range(14):
+        session.engine.set_metadata("k", str(i))
+    assert len(session.engine.store._numbers()) <= 11
+
+
+def test_vacuum(session):
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    session.execute("INSERT INTO t VALUES (1), (2)")
+    session.engine.store.write(session.engine.spark.range(3).selectExpr("id"), "t")  # left by whoever died
+    assert session.engine.vacuum() == 1 and session.engine.vacuum() == 0 and ask(session, "SELECT id FROM t") == [(1,), (2,)]
+
+
+def test_parts_have_the_columns_of_the_table_only(session, spark):
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")
+    session.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    session.execute("UPDATE t SET v = 5 WHERE id = 1")
+    paths = session.engine.at("t", session.engine.seq)["paths"]
+    assert spark.read.parquet(*[f"{session.engine.store.root}/{p}" for p in paths]).columns == ["id", "v"]
