@@ -12,8 +12,8 @@ found in two steps, and each is checked by the whole shingle sets before it coun
    aren't paired again. Sizes and places rule out pairs that cannot reach NEAR, as do counts of the shingles by CELLS
    cells of their hash (sets differ in at least as many shingles as these counts do). So no pair is lost.
 
-To check pairs, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES are dealt in
-blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
+To check pairs, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES (or with
+more than BLOCK_PAIRS pairs) are dealt in blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
 
 Cases: null counts as empty; documents without words are copies of one another; texts under `size` words are one
 shingle; repeated rows share a node; null ids count as LAST_ID and stay only if a group has no other; an empty table
@@ -38,12 +38,12 @@ NEAR = (4, 5)
 #: Documents whose shingles are counted for the order, and the most shingles that come last (both bounds of a broadcast).
 SAMPLE, COMMON = 5000, 50_000
 KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
-LARGE, PIVOTS = 64, 16
+LARGE, PIVOTS = 64, 4
 #: Rows of a bucket above which the commonest group's rows aren't compared with one another.
 BUCKET = 1024
 CELLS = 64
-#: Bytes of sets that a component's check has in one block; bytes of rows or sets in a task.
-BLOCK_BYTES, TASK_BYTES = 8 << 20, 48 << 20
+#: Bytes of sets that a component's check has in one block, and pairs in a pair of blocks; bytes of rows or sets in a task.
+BLOCK_BYTES, BLOCK_PAIRS, TASK_BYTES = 8 << 20, 20_000, 48 << 20
 
 
 def similar(n: int, m: int, both: int) -> bool:
@@ -144,21 +144,20 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> D
     """pairs: distinct a, b. Those of similarity NEAR or more, by whole sets."""
     having = durable(sets(docs, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), size))
     roots = durable(components(pairs))
-    sized = roots.join(having.select("node", F.octet_length("members").alias("bytes")), "node")
-    large = durable(sized.groupBy("root").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > BLOCK_BYTES))
-    blocks = F.coalesce(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
-    placed = durable(roots.join(large, "root", "left").select("node", "root", F.pmod(F.xxhash64("node"), blocks).alias("block")))
-    at = pairs
-    for node, block in (("a", "i"), ("b", "j")):
-        at = at.join(placed.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"), F.col("block").alias(block)), node)
-    at = durable(at.select("a", "b", F.xxhash64("root_a", F.least("i", "j"), F.greatest("i", "j")).alias("cell")))
+    rooted = durable(pairs.join(roots.select(F.col("node").alias("a"), "root"), "a").select("a", "b", "root"))
+    sized = roots.join(having.select("node", F.octet_length("members").alias("bytes")), "node").select("root", "bytes", F.lit(0).alias("one"))
+    weights = sized.union(rooted.select("root", F.lit(0), F.lit(1))).groupBy("root").agg(F.sum("bytes").alias("bytes"), F.sum("one").alias("many"))
+    large = durable(weights.filter((F.col("bytes") > BLOCK_BYTES) | (F.col("many") > BLOCK_PAIRS)))
+    blocks = F.coalesce(F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.sqrt(2 * F.col("many") / BLOCK_PAIRS))), F.lit(1))
+    i, j = (F.pmod(F.xxhash64(x), blocks) for x in ("a", "b"))  # a node's block: both ends have one root, so one number of blocks
+    at = durable(rooted.join(large, "root", "left").select("a", "b", F.xxhash64("root", F.least(i, j), F.greatest(i, j)).alias("cell")))
     needed = at.select("cell", F.col("a").alias("node")).union(at.select("cell", "b")).distinct()
     shipped = needed.join(having, "node").select("cell", "node", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
     listed = at.select("cell", F.lit(None).cast("long").alias("node"), "a", "b", F.lit(None).cast("binary").alias("members"))
     total = having.agg(F.sum(F.octet_length("members"))).first()[0] or 0
     parts = reducers(docs.sparkSession, total, TASK_BYTES)
     made = durable(shipped.union(listed).repartition(parts, "cell").mapInArrow(_checked, "a long, b long"))
-    forget(having, roots, large, placed, at)
+    forget(having, roots, rooted, large, at)
     return made
 
 

@@ -216,7 +216,7 @@ def _span(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def deal_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """Steps 1 and 2 before the shuffle."""
-    shift = np.uint64(64 - 20)
+    half = np.uint64(32)
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -225,7 +225,7 @@ def deal_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if len(doc):
             yield from _removed(DEALT, doc, tag, *_span(first, count), False, bucket=_bucket_of_doc(buckets))
         kept = [c[order[begins[1]]] for c in columns]
-        to = ((kept[0] >> shift) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
+        to = ((kept[0] >> half) * np.uint64(buckets) >> half).astype(np.int32)
         edge = np.searchsorted(to, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(edge))
         for i in range(0, len(full), 64):
