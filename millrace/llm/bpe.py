@@ -2,8 +2,9 @@
 
 Texts are cut where a rolling hash of the last 16 bytes ends in CUT zero bits (at character boundaries, never inside a
 special token), so equal passages of different documents have equal chunks, whatever stands before them. A worker
-encodes each distinct chunk once, with the tokenizers library (new neighbours in one call), and keeps it in a bounded
-table: the ids of the pre-tokens (words, marks, runs of spaces) that lie inside.
+encodes each distinct chunk once, with the tokenizers library (new neighbours at once; where no token holds white space, word by word, each
+word that it doesn't know), and keeps it in a bounded table: the ids of the pre-tokens (words, marks, runs of spaces)
+that lie inside.
 
 These hold in any text but for the chunk's edges, where pre-tokens may run on into the neighbour. So each join is repaired: from a boundary EDGE pre-tokens before it to one EDGE pre-tokens behind it the text
 is encoded anew, until it agrees with the chunks on both sides: with the left one in the first pre-token, with the right
@@ -24,23 +25,30 @@ import json
 import os
 import re
 import unicodedata
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_text, read, worker_wide
+from millrace.llm.common import Recent, by_text, read, worker_wide
 
 ROLL = 16
 #: Zero bits at a cut: chunks have 2 ** CUT bytes on average.
 CUT = 9
 #: Pre-tokens of each side in a join's first window.
 EDGE = 2
-#: Neighbouring new chunks that are encoded at once.
-RUN = 4
+#: Neighbouring new chunks that are encoded at once: as a text by the library (places in which are looked up in time
+#: that grows with it), or as words.
+RUN, RUN_OF_WORDS = 4, 64
 #: Bytes of chunks and joins (about, with their results; a full table begins anew) that a worker keeps.
 KEPT_BYTES = 96 << 20
+#: Words that a worker keeps, for tokenizers that are separable(); characters in which a piece's last words are looked for.
+KEPT_WORDS = 250_000
+TAIL = 200
+WHITE = frozenset([b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"])
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _TABLE = np.random.default_rng(16).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -91,6 +99,16 @@ def composable(config: dict) -> bool:
     )
 
 
+def separable(config: dict) -> bool:
+    """Whether no pre-token or special token holds white space, so that words between it encode alike anywhere."""
+    first = config["pre_tokenizer"] or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+    if first.get("type") != "Split" or first["behavior"] != "Removed" or not first["invert"]:
+        return False
+    pattern = first["pattern"].get("Regex", " ").replace(r"[^\s", "")
+    return not re.search(r"\\[sSWDP]|[ .]|\[\^", pattern) and not any(re.search(r"\s", t["content"]) for t in config["added_tokens"])
+
+
 class Piece:
     """Ids (little-endian) of some pre-tokens in a row of a text, and where the first and the last of these end: pairs of
     place in the text and number of tokens up to there. whole: the ids are those of the text by itself."""
@@ -150,6 +168,23 @@ def inside(text: str, ids: bytes, e, begin: int, end: int, edge: int = EDGE + 2)
     return Piece(own, part, ends, last, False)
 
 
+def word_ends(text: str, parts: list[bytes], first: int, after: int, edge: int = EDGE + 2) -> tuple[tuple, tuple]:
+    """The first and last `edge` boundaries behind words between white space. parts: the ids of the words from number
+    `first` on; `after` words more follow them."""
+    counts = [0, *accumulate(len(p) // 4 for p in parts)]
+    if len(parts) <= 2 * edge:
+        own = [m.end() for m in _WORD.finditer(text)][first : first + len(parts)]
+        every = tuple([(p, n) for p, n in zip(own, counts[1:], strict=True) if plain(text, p)])
+        return every, every
+    head = [m.end() for m, _ in zip(_WORD.finditer(text), range(first + edge), strict=False)][first:]
+    tail = [m.end() for m in _WORD.finditer(text, max(0, len(text) - TAIL))]
+    if len(tail) <= edge + after:  # long words
+        tail = [m.end() for m in _WORD.finditer(text)]
+    tail = tail[len(tail) - after - edge : len(tail) - after]
+    begins = tuple([(p, n) for p, n in zip(head, counts[1 : edge + 1], strict=True) if plain(text, p)])
+    return begins, tuple([(p, n) for p, n in zip(tail, counts[-edge:], strict=True) if plain(text, p)])
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,6 +202,56 @@ class Encoder:
         self.chunks: dict[bytes, Piece] = {}
         self.joins: dict[tuple[str, str], tuple[bytes, tuple[int, int]] | None] = {}
         self.held = 0
+        self.separable = self.composable and separable(config)
+        self.words, self.now = Recent(KEPT_WORDS), {}
+
+    def prepare(self, parted: list[list[bytes]]) -> None:
+        """Makes room, and looks up or encodes at once the words of texts with new chunks (if the tokenizer is separable)."""
+        if self.held > KEPT_BYTES:
+            self.chunks, self.joins, self.held = {}, {}, 0
+        self.now, wanted = {}, set()
+        if self.separable:
+            for chunks in parted:
+                if any(c not in self.chunks for c in chunks):
+                    wanted.update(b"".join(chunks).split())
+        self._learn(wanted)
+
+    def _learn(self, wanted: set[bytes]) -> None:
+        new = []
+        for w in wanted:
+            found = self.words.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                self.now[w] = found
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            e = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            for w, j, k in zip(part, at, at[1:], strict=False):
+                self.now[w] = ids[4 * j : 4 * k]
+                self.words.put(w, self.now[w])
+
+    def _parts(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        missing = {w for w in words if w not in self.now}
+        if missing:
+            self._learn(missing)
+        return [self.now[w] for w in words]
+
+    def _new_words(self, chunks: list[bytes], alone: bool) -> Piece:
+        """As _new, from the ids of the words between white space."""
+        data = b"".join(chunks)
+        parts = self._parts(data.split())
+        text = data.decode("utf-8")
+        out = Piece(text, b"".join(parts), *(((), ()) if alone else word_ends(text, parts, 0, 0)), True)
+        for c in chunks:
+            words, first, after = c.split(), c[:1] not in WHITE, c[-1:] not in WHITE
+            words = words[first : len(words) - after]
+            parts, own = [self.now[w] for w in words], c.decode("utf-8")
+            self.chunks[c] = Piece(own, b"".join(parts), *word_ends(own, parts, int(first), int(after)), False)
+            self.held += 2 * len(c) + len(self.chunks[c].ids) + 1200
+        return out
 
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -176,6 +261,8 @@ class Encoder:
 
     def _new(self, chunks: list[bytes], alone: bool) -> Piece:
         """Encodes neighbouring chunks at once, and keeps each. alone: they are a text, so there is nothing to join."""
+        if self.separable:
+            return self._new_words(chunks, alone)
         text = b"".join(chunks).decode("utf-8")
         e = self._encode(text)
         out, begin = whole(text, e, 0 if alone else EDGE + 2), 0
@@ -191,7 +278,7 @@ class Encoder:
         out, new = [], []
         for data in chunks:
             found = self.chunks.get(data)
-            if new and (found or len(new) == RUN):
+            if new and (found or len(new) == (RUN_OF_WORDS if self.separable else RUN)):
                 out.append(self._new(new, False))
                 new = []
             if found:
@@ -234,14 +321,19 @@ class Encoder:
             n *= 4
         return None
 
-    def encode(self, data: bytes) -> bytes:
-        """The ids of a text."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if not self.composable:
-            return self._ids(data.decode("utf-8"))
-        if self.held > KEPT_BYTES:
-            self.chunks, self.joins, self.held = {}, {}, 0
-        at = cuts(data, self.apart)
-        pieces = self.pieces([data[i:j] for i, j in zip(at, at[1:], strict=False)])
+            return [self._ids(t.decode("utf-8")) for t in texts]
+        parted = []
+        for t in texts:
+            at = cuts(t, self.apart)
+            parted.append([t[i:j] for i, j in zip(at, at[1:], strict=False)])
+        self.prepare(parted)
+        return [self.joined(self.pieces(chunks)) for chunks in parted]
+
+    def joined(self, pieces: list[Piece]) -> bytes:
+        """The ids of a text that consists of pieces."""
         if not pieces:
             return b""
         # since: the place and tokens in the last piece from which its ids hold; None: the text `open_` is to be encoded
@@ -296,7 +388,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(path)
-        ids = [e.encode((text or "").encode("utf-8", "replace")) for text in batch.column("text").to_pylist()]
+        ids = e.encode([(text or "").encode("utf-8", "replace") for text in batch.column("text").to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(e.decode(ids), pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -96,7 +96,7 @@ def test_joins_of_small_chunks(monkeypatch, name, cut):
     passages = ["".join(r.choice(ODD) for _ in range(r.randint(20, 200))) for _ in range(12)] + texts(20) + ["x" * 3000, " " * 700, "<|endoftext|>" * 30]
     for _ in range(150):
         t = "".join(r.choice(passages)[r.randint(0, 9) :] for _ in range(r.randint(1, 6)))
-        ids = e.encode(t.encode())
+        ids = e.encode([t.encode()])[0]
         want = e.tokenizer.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert e.decode([ids]) == [e.tokenizer.decode(want, skip_special_tokens=False)]
@@ -112,7 +112,7 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(config))
     e = bpe.Encoder(str(tmp_path / "t.json"))
     text = " ".join(texts(20))
-    assert not e.composable and np.frombuffer(e.encode(text.encode()), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not e.composable and np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_chunks_are_shared():
