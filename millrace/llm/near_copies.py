@@ -9,8 +9,9 @@ found in two steps, and each is checked by the whole shingle sets before it coun
 2. What 4 bits miss: all sets are sorted in one order, shingles that a sample of documents has often last, the others by
    hash. Two sets of similarity NEAR share one of the first n - ceil(NEAR * n) + 1 shingles of each (the prefix), so
    nodes that meet in a prefix shingle are all the candidates there can be. Nodes that step 1 linked (over others, too)
-   aren't paired again. Sizes and places rule out pairs that cannot reach NEAR, as do counts of the shingles by CELLS
-   cells of their hash (sets differ in at least as many shingles as these counts do). So no pair is lost.
+   aren't paired again. Sizes and places rule out pairs that cannot reach NEAR, as does a sketch that each row of a
+   bucket carries: counts, modulo 16, of the shingles by CELLS cells of their hash (sets differ in at least as many
+   shingles as these counts do, taken the shorter way round). So no pair is lost, and most that are none aren't joined.
 
 To check pairs, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES (or with
 more than BLOCK_PAIRS pairs) are dealt in blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
@@ -41,7 +42,8 @@ KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
 LARGE, PIVOTS = 64, 4
 #: Rows of a bucket above which the commonest group's rows aren't compared with one another.
 BUCKET = 1024
-CELLS = 64
+#: Cells of a sketch, half a byte each: two longs.
+CELLS = 32
 #: Bytes of sets that a component's check has in one block, and pairs in a pair of blocks; bytes of rows or sets in a task.
 BLOCK_BYTES, BLOCK_PAIRS, TASK_BYTES = 8 << 20, 20_000, 48 << 20
 
@@ -60,6 +62,22 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingles(text, size))
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """How many members (modulo 16) are in each of CELLS cells, as two longs."""
+    many = (np.bincount((members % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 15).astype(np.uint8)
+    return (many[0::2] | many[1::2] << 4).view("<i8")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows of two sketches each: the least number of members that one of the two sets has and the other has not."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 65536):
+        a, b = (np.ascontiguousarray(z[i : i + 65536]).view(np.uint8) for z in (x, y))
+        low, high = ((a & 15) - (b & 15)) & 15, ((a >> 4) - (b >> 4)) & 15
+        out[i : i + 65536] = np.minimum(low, 16 - low).sum(axis=1, dtype=np.int64) + np.minimum(high, 16 - high).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(*named(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -81,7 +99,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
     """A row for each row of docs: doc_id, tag, node, n (shingles), fp (fingerprint),
-    keys (minimal hashes), prefix, cells (counts, a byte each)."""
+    keys (minimal hashes), prefix, s0, s1 (the sketch)."""
     common = shared(docs.sparkSession, common_shingles(docs, size))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -102,12 +120,12 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
             sizes.append(n)
             keys.append(signed(np.array([((s ^ (s >> np.uint64(29))) * np.uint64(k)).min() for k in KEYS] if n else [], np.uint64)))
-            cells.append(np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+            cells.append(sketch(s))
             heads.append(signed(s[np.lexsort((s, rank))[: n - -(-p * n // q) + 1]]))
-        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(signed(np.array(prints, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "fp", "keys", "prefix", "cells"])
+        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(signed(np.array(prints, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), *(pa.array([c[k] for c in cells], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "fp", "keys", "prefix", "s0", "s1"])
 
-    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, fp long, keys array<long>, prefix array<long>, cells binary")
+    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, fp long, keys array<long>, prefix array<long>, s0 long, s1 long")
 
 
 def sets(docs: DataFrame, rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
@@ -186,10 +204,12 @@ def _could(n, i, m, j):
     return (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * (1 + np.minimum(n - i - 1, m - j - 1)) >= p * (n + m))
 
 
-def candidates(h, node, n, i, root):
-    """Pairs of rows of whole buckets (equal h), of different roots, that sizes and places allow: arrays a, b of nodes."""
+def candidates(h, node, n, i, root, s0, s1):
+    """Pairs of rows of whole buckets (equal h), of different roots, that sizes, places and sketches allow: arrays a, b of nodes."""
     order = np.lexsort((n, h))
     h, node, n, i, root = (x[order] for x in (h, node, n, i, root))
+    cells = np.column_stack([s0[order], s1[order]]).astype("<i8")
+    p, q = NEAR
     n, i = n.astype(np.int64), i.astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(begin, len(h)))
@@ -198,6 +218,8 @@ def candidates(h, node, n, i, root):
 
     def take(x, y):
         ok = (root[x] != root[y]) & _could(n[x], i[x], n[y], i[y])
+        x, y = x[ok], y[ok]
+        ok = (p + q) * apart(cells[x], cells[y]) <= (q - p) * (n[x] + n[y])
         found.append((node[x][ok], node[y][ok]))
 
     for s, c in zip(begin[mixed & (count > BUCKET)], count[mixed & (count > BUCKET)], strict=True):
@@ -210,7 +232,7 @@ def candidates(h, node, n, i, root):
     active, d = np.arange(len(h)), 1
     while True:
         active = active[active + d < end[active]]
-        active = active[NEAR[1] * n[active] >= NEAR[0] * n[active + d]]  # sizes ascend: farther ones don't fit, either
+        active = active[q * n[active] >= p * n[active + d]]  # sizes ascend: farther ones don't fit, either
         if not len(active):
             break
         take(active, active + d)
@@ -220,24 +242,11 @@ def candidates(h, node, n, i, root):
     return pairs[:, 0], pairs[:, 1]
 
 
-def possible(pairs: DataFrame) -> DataFrame:
-    """pairs: a, b, n, m, x, y (sizes and cells of each). Those whose cells allow a similarity of NEAR."""
-
-    def run(batches):
-        for b in batches:
-            n, m = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("x", "y"))
-            p, q = NEAR
-            yield b.select(["a", "b"]).filter(pa.array((p + q) * np.abs(x - y).sum(axis=1) <= (q - p) * (n + m)))
-
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _paired(batches):
-    """Rows (h, node, n, i, root) of whole buckets, in any order, to candidate pairs a, b."""
+    """Rows (h, node, n, i, root, s0, s1) of whole buckets, in any order, to candidate pairs a, b."""
     held = [b for b in batches if b.num_rows]
     if held:
-        a, b = candidates(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("h", "node", "n", "i", "root")))
+        a, b = candidates(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("h", "node", "n", "i", "root", "s0", "s1")))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -250,13 +259,9 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Data
     roots = durable(components(known))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = rooted.select("node", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition(reducers(spark, 32 * entries, TASK_BYTES), "h")
-    met = durable(buckets.select("h", "node", "n", "i", "root").mapInArrow(_paired, "a long, b long").distinct())
-    left = met
-    for node, n, cells in (("a", "n", "x"), ("b", "m", "y")):
-        left = left.join(nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("cells").alias(cells)), node)
-    left = durable(possible(left))
-    forget(met, roots, pairs)
+    buckets = rooted.select("node", "n", "root", "s0", "s1", F.posexplode("prefix").alias("i", "h")).repartition(reducers(spark, 48 * entries, TASK_BYTES), "h")
+    left = durable(buckets.select("h", "node", "n", "i", "root", "s0", "s1").mapInArrow(_paired, "a long, b long").distinct())
+    forget(roots, pairs)
     return verified(docs, rows, left, size).unionByName(known)
 
 
@@ -265,7 +270,7 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     component_id (the smallest doc_id of its group)."""
     every = durable(prefixes(docs, size))
     light = durable(every.select("doc_id", "tag", "node"))
-    nodes = durable(every.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "prefix", "cells")).alias("x")).select("node", "x.n", "x.fp", "x.keys", "x.prefix", "x.cells"))
+    nodes = durable(every.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "prefix", "s0", "s1")).alias("x")).select("node", "x.n", "x.fp", "x.keys", "x.prefix", "x.s0", "x.s1"))
     forget(every)
     linked = durable(links(docs, light, nodes, size))
     forget(nodes)

@@ -80,6 +80,24 @@ def test_candidates_of_large_buckets(monkeypatch):
     r = np.random.default_rng(3)
     h, n, i = r.integers(0, 4, 300), r.integers(20, 60, 300), r.integers(0, 4, 300)
     node, root = np.arange(300), np.where(r.random(300) < 0.6, 0, np.arange(300))
-    want = set(zip(*(x.tolist() for x in near_copies.candidates(h, node, n, i, root)), strict=True))
+    cells = r.integers(0, 8, (300, 2))
+    find = lambda: set(zip(*(x.tolist() for x in near_copies.candidates(h, node, n, i, root, *cells.T)), strict=True))
+    want = find()
     monkeypatch.setattr(near_copies, "BUCKET", 10)
-    assert set(zip(*(x.tolist() for x in near_copies.candidates(h, node, n, i, root)), strict=True)) == want and len(want) > 100
+    assert find() == want and len(want) > 100
+
+
+def test_sketches_never_tell_too_much():
+    """Sets of any size differ in at least as many members as their sketches say; unlike sets differ a lot."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for size in (0, 1, 30, 300, 5000, 40_000):
+        for share in (0, 0.5, 0.8, 0.95, 1):
+            both, rest = (r.integers(0, 2**64, k, np.uint64) for k in (int(size * share), size - int(size * share)))
+            a, b = np.unique(both), np.unique(np.concatenate([both, rest]))
+            differ = len(np.setxor1d(a, b))
+            got = near_copies.apart(near_copies.sketch(a)[None], near_copies.sketch(b)[None])[0]
+            assert got <= differ and (got > 0 or differ == 0 or size > 300)
+    x, y = (near_copies.sketch(r.integers(0, 2**64, 300, np.uint64))[None] for _ in "ab")
+    assert 9 * near_copies.apart(x, y)[0] > 600
