@@ -13,7 +13,9 @@ found in two steps, and each is checked by the whole shingle sets before it coun
    bucket carries: counts, modulo 16, of the shingles by CELLS cells of their hash (sets differ in at least as many
    shingles as these counts do, taken the shorter way round). So no pair is lost, and most that are none aren't joined.
 
-To check pairs, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES (or with
+Pairs of either step first meet with longer sketches (parities of the counts of four to eight times as many cells as
+shingles, a sixteenth to an eighth of a set's bytes; each odd difference is at least one shingle), which rule out nearly all below NEAR.
+To check the rest, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES (or with
 more than BLOCK_PAIRS pairs) are dealt in blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
 
 Cases: null counts as empty; documents without words are copies of one another; texts under `size` words are one
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm.common import by_text, durable, forget, reducers, shared
+from millrace.llm.common import by_text, durable, forget, reducers, shared, small_batches
 from millrace.llm.components import components
 from millrace.llm.simhash import majority, named, shingles, stay
 
@@ -42,6 +44,8 @@ KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
 LARGE, PIVOTS = 64, 4
 #: Rows of a bucket above which the commonest group's rows aren't compared with one another.
 BUCKET = 1024
+#: Bits of a long sketch: at least, at most (longer sets' sketches tell less, what they don't rule out is checked).
+BITS = (64, 1 << 15)
 #: Cells of a sketch, half a byte each: two longs.
 CELLS = 32
 #: Bytes of sets that a component's check has in one block, and pairs in a pair of blocks; bytes of rows or sets in a task.
@@ -78,6 +82,38 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(members: np.ndarray) -> bytes:
+    """Whether the number of members in each cell is odd, a bit each."""
+    least, most = BITS
+    cells = min(most, max(least, 1 << (4 * len(members)).bit_length()))
+    odd = np.bincount((members & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def odd_apart(x: bytes, y: bytes) -> int:
+    """The least number of members that one of the two sets has and the other has not; the longer one is folded."""
+    a, b = (np.frombuffer(z, "<u8") for z in (x, y))
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(z.reshape(-1, min(len(a), len(b))), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def ruled(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs: distinct a, b. Those that sizes and long sketches allow a similarity of NEAR."""
+
+    def run(batches):
+        p, q = NEAR
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            ok = [q * min(i, j) >= p * max(i, j) and (p + q) * odd_apart(s, t) <= (q - p) * (i + j) for i, j, s, t in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    small_batches(nodes.sparkSession)
+    for node, n, bits in (("a", "n", "x"), ("b", "m", "y")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits)), node)
+    return durable(pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"))
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(*named(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -99,7 +135,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
     """A row for each row of docs: doc_id, tag, node, n (shingles), fp (fingerprint),
-    keys (minimal hashes), prefix, s0, s1 (the sketch)."""
+    keys (minimal hashes), prefix, s0, s1 (the sketch), bits (the long one)."""
     common = shared(docs.sparkSession, common_shingles(docs, size))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,7 +143,7 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
 
         listed, often = common()
         p, q = NEAR
-        nodes, sizes, prints, keys, heads, cells = [], [], [], [], [], []
+        nodes, sizes, prints, keys, heads, cells, bits = [], [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             every = shingles(text, size)
             s = np.unique(every)
@@ -121,11 +157,12 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
             sizes.append(n)
             keys.append(signed(np.array([((s ^ (s >> np.uint64(29))) * np.uint64(k)).min() for k in KEYS] if n else [], np.uint64)))
             cells.append(sketch(s))
+            bits.append(parities(s))
             heads.append(signed(s[np.lexsort((s, rank))[: n - -(-p * n // q) + 1]]))
-        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(signed(np.array(prints, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), *(pa.array([c[k] for c in cells], pa.int64()) for k in (0, 1))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "fp", "keys", "prefix", "s0", "s1"])
+        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(signed(np.array(prints, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), *(pa.array([c[k] for c in cells], pa.int64()) for k in (0, 1)), pa.array(bits, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "node", "n", "fp", "keys", "prefix", "s0", "s1", "bits"])
 
-    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, fp long, keys array<long>, prefix array<long>, s0 long, s1 long")
+    return by_text(with_text(docs), run, "doc_id long, tag long, node long, n int, fp long, keys array<long>, prefix array<long>, s0 long, s1 long, bits binary")
 
 
 def sets(docs: DataFrame, rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
@@ -254,14 +291,17 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Data
     """rows: doc_id, tag, node; nodes: what prefixes() says of each. Links a, b of nodes that connect all pairs of
     similarity NEAR or more, and no others."""
     spark = docs.sparkSession
-    pairs = first_pairs(nodes)
+    met = first_pairs(nodes)
+    pairs = ruled(met, nodes)
+    forget(met)
     known = verified(docs, rows, pairs, size)
     roots = durable(components(known))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = rooted.select("node", "n", "root", "s0", "s1", F.posexplode("prefix").alias("i", "h")).repartition(reducers(spark, 48 * entries, TASK_BYTES), "h")
-    left = durable(buckets.select("h", "node", "n", "i", "root", "s0", "s1").mapInArrow(_paired, "a long, b long").distinct())
-    forget(roots, pairs)
+    met = durable(buckets.select("h", "node", "n", "i", "root", "s0", "s1").mapInArrow(_paired, "a long, b long").distinct())
+    left = ruled(met, nodes)
+    forget(met, roots, pairs)
     return verified(docs, rows, left, size).unionByName(known)
 
 
@@ -270,7 +310,7 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     component_id (the smallest doc_id of its group)."""
     every = durable(prefixes(docs, size))
     light = durable(every.select("doc_id", "tag", "node"))
-    nodes = durable(every.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "prefix", "s0", "s1")).alias("x")).select("node", "x.n", "x.fp", "x.keys", "x.prefix", "x.s0", "x.s1"))
+    nodes = durable(every.groupBy("node").agg(F.first(F.struct("n", "fp", "keys", "prefix", "s0", "s1", "bits")).alias("x")).select("node", "x.n", "x.fp", "x.keys", "x.prefix", "x.s0", "x.s1", "x.bits"))
     forget(every)
     linked = durable(links(docs, light, nodes, size))
     forget(nodes)

@@ -98,6 +98,10 @@ def test_sketches_never_tell_too_much():
             a, b = np.unique(both), np.unique(np.concatenate([both, rest]))
             differ = len(np.setxor1d(a, b))
             got = near_copies.apart(near_copies.sketch(a)[None], near_copies.sketch(b)[None])[0]
-            assert got <= differ and (got > 0 or differ == 0 or size > 300)
+            odd = near_copies.odd_apart(near_copies.parities(a), near_copies.parities(b))
+            assert max(got, odd) <= differ and (odd > 0 or differ == 0)
     x, y = (near_copies.sketch(r.integers(0, 2**64, 300, np.uint64))[None] for _ in "ab")
     assert 9 * near_copies.apart(x, y)[0] > 600
+    for n, m in ((0, 0), (0, 3), (3, 40_000), (30, 33), (60_000, 50_000)):
+        a, b = (r.integers(0, 2**64, k, np.uint64) for k in (n, m))
+        assert near_copies.odd_apart(near_copies.parities(a), near_copies.parities(b)) <= n + m
