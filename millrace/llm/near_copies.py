@@ -12,8 +12,11 @@ found in two steps, and each is checked by the whole shingle sets before it coun
    aren't paired again. Sizes and places rule out pairs that cannot reach NEAR, as does a sketch that each row of a
    bucket carries: counts, modulo 16, of the shingles by CELLS cells of their hash (sets differ in at least as many
    shingles as these counts do, taken the shorter way round). So no pair is lost, and most that are none aren't joined.
+   Prefix shingles that no two roots of fitting sizes share are dropped first. The rows of the others also carry a
+   longer sketch (SHORT bytes at most), so that unlike copies in a large group make no pair at all, and their node's
+   BEFORE earlier shared shingles: a pair that has one of these in common met there already, and is left to it.
 
-Pairs of either step first meet with longer sketches (parities of the counts of four to eight times as many cells as
+Pairs of either step then meet with longer sketches (parities of the counts of four to eight times as many cells as
 shingles, a sixteenth to an eighth of a set's bytes; each odd difference is at least one shingle), which rule out nearly all below NEAR.
 To check the rest, whole sets go to the pairs' components, once each; those of a component over BLOCK_BYTES (or with
 more than BLOCK_PAIRS pairs) are dealt in blocks, and each pair of blocks with candidates gets their sets. Groups are what links reach.
@@ -48,6 +51,8 @@ BUCKET = 1024
 BITS = (64, 1 << 15)
 #: Cells of a sketch, half a byte each: two longs.
 CELLS = 32
+#: Bytes of a long sketch that a row of a bucket carries at most, and of how many earlier buckets it tells.
+SHORT, BEFORE = 256, 4
 #: Bytes of sets that a component's check has in one block, and pairs in a pair of blocks; bytes of rows or sets in a task.
 BLOCK_BYTES, BLOCK_PAIRS, TASK_BYTES = 8 << 20, 20_000, 48 << 20
 
@@ -220,7 +225,7 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
     """Step 1: pairs of nodes that fingerprints or minimal hashes suggest."""
     # nodes with one fingerprint hang on the first of them; linked fingerprints' first nodes on one another
     first = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
-    found = durable(simhash.links(first.select("fp")))
+    found = durable(simhash.links(first.select("fp")).distinct())
     linked = found.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = nodes.select("node", "fp").join(first, "fp").select("node", "head")
     keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
@@ -241,11 +246,47 @@ def _could(n, i, m, j):
     return (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * (1 + np.minimum(n - i - 1, m - j - 1)) >= p * (n + m))
 
 
-def candidates(h, node, n, i, root, s0, s1):
-    """Pairs of rows of whole buckets (equal h), of different roots, that sizes, places and sketches allow: arrays a, b of nodes."""
+def folded(bits: bytes, most: int = SHORT) -> bytes:
+    """A long sketch as one of at most so many bytes."""
+    if len(bits) <= most:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<u8").reshape(-1, most // 8), axis=0).tobytes()
+
+
+class Parities:
+    """Long sketches by row (of at most SHORT bytes), to compare many pairs of rows at once."""
+
+    def __init__(self, bits: list[bytes]):
+        self.long = np.array([len(b) for b in bits], np.int64)
+        self.row, self.made = np.empty(len(bits), np.int64), {}
+        for size in np.unique(self.long):
+            at = np.flatnonzero(self.long == size)
+            self.row[at] = np.arange(len(at))
+            self.made[int(size)] = np.frombuffer(b"".join([bits[k] for k in at]), "<u8").reshape(len(at), -1)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """odd_apart() of rows x and y."""
+        out = np.empty(len(x), np.int64)
+        i, j = self.long[x], self.long[y]
+        for a, b in np.unique(np.column_stack([i, j]), axis=0).tolist():
+            at = np.flatnonzero((i == a) & (j == b))
+            for k in range(0, len(at), 8192):
+                some = at[k : k + 8192]
+                u, v = self.made[a][self.row[x[some]]], self.made[b][self.row[y[some]]]
+                if a != b:
+                    u, v = (np.bitwise_xor.reduce(z.reshape(len(z), -1, min(a, b) // 8), axis=1) for z in (u, v))
+                out[some] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def candidates(h, node, n, i, root, s0, s1, before=None, bits=None):
+    """Pairs of rows of whole buckets (equal h), of different roots, that sizes, places and sketches allow: arrays a, b of
+    nodes. before: for each row some earlier buckets of its node (0 for none), whose pairs are left to these."""
     order = np.lexsort((n, h))
     h, node, n, i, root = (x[order] for x in (h, node, n, i, root))
     cells = np.column_stack([s0[order], s1[order]]).astype("<i8")
+    before = None if before is None else before[order]
+    long = None if bits is None else Parities([bits[k] for k in order])
     p, q = NEAR
     n, i = n.astype(np.int64), i.astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -256,8 +297,15 @@ def candidates(h, node, n, i, root, s0, s1):
     def take(x, y):
         ok = (root[x] != root[y]) & _could(n[x], i[x], n[y], i[y])
         x, y = x[ok], y[ok]
+        for j in range(0 if before is None else before.shape[1]):
+            ok = (before[x, j] == 0) | (before[y] != before[x, j][:, None]).all(axis=1)
+            x, y = x[ok], y[ok]
         ok = (p + q) * apart(cells[x], cells[y]) <= (q - p) * (n[x] + n[y])
-        found.append((node[x][ok], node[y][ok]))
+        x, y = x[ok], y[ok]
+        if long is not None:
+            ok = (p + q) * long.apart(x, y) <= (q - p) * (n[x] + n[y])
+            x, y = x[ok], y[ok]
+        found.append((node[x], node[y]))
 
     for s, c in zip(begin[mixed & (count > BUCKET)], count[mixed & (count > BUCKET)], strict=True):
         names, times = np.unique(root[s : s + c], return_counts=True)
@@ -279,27 +327,89 @@ def candidates(h, node, n, i, root, s0, s1):
     return pairs[:, 0], pairs[:, 1]
 
 
+def _columns(batches, *names: str) -> list[np.ndarray] | None:
+    """Columns of all batches together; None if there are no rows."""
+    held = [b for b in batches if b.num_rows]
+    return [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names] if held else None
+
+
+def _shared(batches):
+    """Rows (h, node, n, i, root) of whole buckets, in any order: node, i and h of those that meet another root in a run
+    of rows whose sizes, in order, each allow the next."""
+    if (got := _columns(batches, "h", "node", "n", "i", "root")) is None:
+        return
+    order = np.lexsort((got[2], got[0]))
+    h, node, n, i, root = (x[order] for x in got)
+    p, q = NEAR
+    size = n.astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (q * size[:-1] < p * size[1:])]))
+    mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+    kept = np.repeat(mixed, np.diff(np.append(begin, len(h))))
+    yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (node, i, h)], names=["node", "i", "h"])
+
+
+def _dealt(batches):
+    """Rows (node, n, root, s0, s1, bits, held), held being its i and h in order, to one row for each of these, with the
+    BEFORE ones that come before it."""
+    for batch in batches:
+        held = batch.column("held")
+        offsets, flat = held.offsets.to_numpy().astype(np.int64), held.flatten()
+        i, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        times = np.diff(offsets)
+        row, at = np.repeat(np.arange(len(times)), times), np.arange(len(h))
+        place = at - np.repeat(offsets[:-1] - offsets[0], times)
+        before = np.stack([np.where(place >= k, h[np.maximum(at - k, 0)], 0) for k in range(1, BEFORE + 1)], axis=1)
+        bits = pa.array([folded(b) for b in batch.column("bits").to_pylist()], pa.binary())
+        for k in range(0, len(h), 16384):
+            some = slice(k, k + 16384)
+            mine = pa.array(row[some])
+            columns = [pa.array(h[some]), pa.array(i[some]), *(batch.column(c).take(mine) for c in ("node", "n", "root", "s0", "s1")), pa.ListArray.from_arrays(np.arange(0, (len(mine) + 1) * BEFORE, BEFORE, dtype=np.int32), before[some].ravel()), bits.take(mine)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "i", "node", "n", "root", "s0", "s1", "before", "bits"])
+
+
 def _paired(batches):
-    """Rows (h, node, n, i, root, s0, s1) of whole buckets, in any order, to candidate pairs a, b."""
+    """Rows (h, node, n, i, root, s0, s1, before, bits) of whole buckets, in any order, to candidate pairs a, b."""
     held = [b for b in batches if b.num_rows]
     if held:
-        a, b = candidates(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("h", "node", "n", "i", "root", "s0", "s1")))
+        before = np.concatenate([b.column("before").flatten().to_numpy(zero_copy_only=False).reshape(-1, BEFORE) for b in held])
+        bits = [x for b in held for x in b.column("bits").to_pylist()]
+        a, b = candidates(*_columns(held, "h", "node", "n", "i", "root", "s0", "s1"), before, bits)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def meetings(rooted: DataFrame) -> DataFrame:
+    """rooted: nodes with their root. The nodes whose prefixes meet others', with `held`: the shingles (i, h) where they do."""
+    spark = rooted.sparkSession
+    total = rooted.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    entries = rooted.select("node", "n", "root", F.posexplode("prefix").alias("i", "h")).select("h", "node", "n", "i", "root")
+    met = entries.repartition(reducers(spark, 32 * total, TASK_BYTES), "h").mapInArrow(_shared, "node long, i int, h long")
+    return durable(met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("held")))
+
+
+def further_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Step 2: all pairs of nodes of different roots (node, root; others are their own) that may have similarity NEAR."""
+    spark = nodes.sparkSession
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = meetings(rooted)
+    rows = durable(rooted.join(held, "node").select("node", "n", "root", "s0", "s1", "bits", "held"))
+    size = F.size("held") * (F.lit(96) + F.least(F.octet_length("bits"), F.lit(SHORT)))
+    parts = reducers(spark, rows.agg(F.sum(size)).first()[0] or 0, TASK_BYTES)
+    small_batches(spark)
+    dealt = rows.mapInArrow(_dealt, "h long, i int, node long, n int, root long, s0 long, s1 long, before array<long>, bits binary")
+    met = durable(dealt.repartition(parts, "h").mapInArrow(_paired, "a long, b long").distinct())
+    forget(held, rows)
+    return met
+
+
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """rows: doc_id, tag, node; nodes: what prefixes() says of each. Links a, b of nodes that connect all pairs of
     similarity NEAR or more, and no others."""
-    spark = docs.sparkSession
     met = first_pairs(nodes)
     pairs = ruled(met, nodes)
     forget(met)
     known = verified(docs, rows, pairs, size)
     roots = durable(components(known))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = rooted.select("node", "n", "root", "s0", "s1", F.posexplode("prefix").alias("i", "h")).repartition(reducers(spark, 48 * entries, TASK_BYTES), "h")
-    met = durable(buckets.select("h", "node", "n", "i", "root", "s0", "s1").mapInArrow(_paired, "a long, b long").distinct())
+    met = further_pairs(nodes, roots)
     left = ruled(met, nodes)
     forget(met, roots, pairs)
     return verified(docs, rows, left, size).unionByName(known)

@@ -105,3 +105,55 @@ def test_sketches_never_tell_too_much():
     for n, m in ((0, 0), (0, 3), (3, 40_000), (30, 33), (60_000, 50_000)):
         a, b = (r.integers(0, 2**64, k, np.uint64) for k in (n, m))
         assert near_copies.odd_apart(near_copies.parities(a), near_copies.parities(b)) <= n + m
+
+
+def test_large_group_of_unlike_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text whose similarity is just too small aren't paired with one another, the few that are links are."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    base, made = [r.choice(words) for _ in range(300)], []
+    for k in range(120):
+        copy = list(base)
+        for at in r.sample(range(5, 295), 5):
+            copy[at] = f"new{r.randint(0, 10**9)}"
+        made.append(copy)
+        if k % 20 == 0:
+            made.append([*copy, "one", "more"])
+    data = [(i + 1, " ".join(w), "en", "s0", 1) for i, w in enumerate(made)]
+    met, ruled = [], near_copies.ruled
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "ruled", lambda pairs, nodes: met.append(pairs.count()) or ruled(pairs, nodes))
+    assert ids(corpus_pipeline.simhash_stage(spark, documents(spark, data), "")) == brute(data)
+    assert len(met) > 1 and sum(met[1:]) < 60 and len(brute(data)) < len(data)
+
+
+def test_pairs_are_left_to_earlier_buckets():
+    """Pairs that met in an earlier bucket aren't named again, and none is lost; as many tasks as buckets."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    held = [np.sort(r.choice(np.arange(1, 60), r.integers(1, 30), replace=False)) for _ in range(50)]
+    row = [(h, k, 1000, i, [*held[k][max(0, i - near_copies.BEFORE) : i][::-1], *[0] * near_copies.BEFORE][: near_copies.BEFORE]) for k in range(50) for i, h in enumerate(held[k])]
+    found = {True: [], False: []}
+    for bucket in range(1, 60):
+        h, node, n, i, before = (np.array(x) for x in zip(*[x for x in row if x[0] == bucket], strict=True))
+        none = np.zeros(len(h), np.int64)
+        for told in found:
+            a, b = near_copies.candidates(h, node, n, i, node, none, none, before if told else None)
+            found[told] += zip(a.tolist(), b.tolist(), strict=True)
+    assert set(found[True]) == set(found[False]) and len(found[True]) < 0.8 * len(found[False])
+
+
+def test_short_forms_of_long_sketches():
+    """Parities compares many rows as odd_apart does two; a folded sketch never tells more than the whole one."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    sets_ = [r.integers(0, 2**64, int(k), np.uint64) for k in r.choice([0, 3, 20, 90, 400, 3000, 9000], 60)]
+    long = [near_copies.parities(x) for x in sets_]
+    short = [near_copies.folded(x) for x in long]
+    assert max(map(len, long)) > near_copies.SHORT == max(map(len, short))
+    x, y = (r.integers(0, 60, 500) for _ in "ab")
+    got = near_copies.Parities(short).apart(x, y).tolist()
+    assert got == [near_copies.odd_apart(short[i], short[j]) for i, j in zip(x, y, strict=True)]
+    assert all(g <= near_copies.odd_apart(long[i], long[j]) <= len(np.setxor1d(sets_[i], sets_[j])) for g, i, j in zip(got, x, y, strict=True))
